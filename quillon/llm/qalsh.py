@@ -4,7 +4,7 @@ Vectors are dealt into blocks of bounded size, queries likewise; each pair of a
 task. A block keeps, for each of `projections` random lines, its vectors' projections in sorted order. A query's window
 on each line starts at `width` around its own projection and grows by `growth` (virtual rehashing), and a vector's
 collisions are the lines on which it lies in the window. Vectors with `collisions` of them or more are verified by exact
-inner products in double precision; windows grow until `verify` of the block, and at least `k` vectors, are verified, or
+inner products in double precision; windows grow until the share `VERIFY` of the block (at least LEAST x k vectors) is verified, or
 until all are. The best k of each block are merged.
 
 Largest inner product becomes smallest distance by one more component that gives every vector the block's largest norm.
@@ -31,12 +31,16 @@ EVERY = 20
 #: Rows of a vector block and of a query block.
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 4_096
-PROJECTIONS = 48
-GROWTH = 1.3
+PROJECTIONS = 96
+GROWTH = 1.1
 #: Share of lines on which a verified vector collides.
-COLLISIONS = 0.6
+COLLISIONS = 0.4
+#: Half a first window, in standard deviations of a projection.
+START = 0.7
 #: Share of a block's distinct vectors that is verified per query.
-VERIFY = 0.08
+VERIFY = 0.25
+#: Times k: the fewest that are verified, which makes small blocks exact.
+LEAST = 50
 SEED = 11
 
 
@@ -69,15 +73,15 @@ class Block:
         self.order = np.argsort(shadow, axis=0).T.copy()
         self.sorted = np.take_along_axis(shadow, self.order.T, axis=0).T.copy()
 
-    def verified(self, query: np.ndarray, k: int, share: float, collisions: float, growth: float) -> np.ndarray:
+    def verified(self, query: np.ndarray, k: int, share: float, collisions: float, growth: float, start: float = START) -> np.ndarray:
         """Distinct vectors whose collisions reach the threshold, in windows grown until there are enough."""
         n, lines = len(self.vectors), len(self.sorted)
-        enough = min(n, max(4 * k, math.ceil(share * n)))
+        enough = min(n, max(LEAST * k, math.ceil(share * n)))
         if enough == n:
             return np.arange(n)
         norm = math.sqrt((query**2).sum())
         centre = (query * (self.radius / norm)) @ self.lines[:-1]  # the query, scaled to the vectors' sphere
-        half = self.radius * 0.5 * math.sqrt(2 / len(query))
+        half = self.radius * start / math.sqrt(len(query))
         need = math.ceil(collisions * lines)
         count = np.zeros(n, np.int64)
         low = high = None
@@ -94,12 +98,12 @@ class Block:
 
     def search(self, qid: int, query: np.ndarray, k: int, share: float, collisions: float, growth: float) -> tuple[np.ndarray, np.ndarray]:
         found = self.verified(query, k, share, collisions, growth)
+        rough = self.vectors[found] @ query
+        if len(found) > k + 1:  # one may be the query's own; what rounding could confuse with the last stays
+            least = np.partition(rough, -(k + 1))[-(k + 1)]
+            found = found[rough >= least - 1e-9 * self.radius * math.sqrt((query**2).sum())]
         scores = _products(self.vectors[found], query)
-        best = np.argsort(-scores, kind="stable")
-        if len(best) > 2 * k + 2:
-            best = np.flatnonzero(scores >= np.partition(scores, -(k + 1))[-(k + 1)])
-            best = best[np.argsort(-scores[best], kind="stable")]
-        best = best[: 4 * k] if len(best) > 4 * k and scores[best[4 * k - 1]] < scores[best[k]] else best
+        best = np.arange(len(found))
         ids = [self.ids[self.first[u] : min(self.last[u], self.first[u] + k + 1)] for u in found[best]]  # a copy group's smallest ids; one may be the query's own
         out_ids = np.concatenate(ids)
         out_scores = np.repeat(scores[best], [len(i) for i in ids])
