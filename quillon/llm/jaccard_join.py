@@ -178,7 +178,7 @@ def _verifier(threshold: int):
     return run
 
 
-def _within(ids: DataFrame) -> DataFrame:
+def within(ids: DataFrame) -> DataFrame:
     """ids, broadcast if they are counted to be few."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
@@ -195,7 +195,7 @@ def candidates(docs: DataFrame, of: DataFrame, n: int = N, threshold: int = THRE
     """(key, doc) of all signatures that two or more classes share, hot ones left out where that is safe."""
     texts = docs.select("doc_id", "text").where("doc_id is not null")
     copies = of.where("doc_id <> rep").select("doc_id").distinct()
-    reps = texts.join(_within(copies), "doc_id", "left_anti")
+    reps = texts.join(within(copies), "doc_id", "left_anti")
     signatures = reps.mapInArrow(_emit_signatures(n, threshold), "key long, doc long")
     shared = common.stored(signatures.withColumn("classes", F.count("*").over(Window.partitionBy("key"))).where("classes > 1"), "signatures")
     scheme = F.shiftrightunsigned(F.col("key").bitwiseAND(1023), 1)
@@ -219,7 +219,7 @@ def links(docs: DataFrame, of: DataFrame, n: int = N, threshold: int = THRESHOLD
     leaders = found.groupBy("key").agg(F.min("doc").alias("leader"), F.count("*").alias("classes")).where("classes > 1").select("key", "leader")
     star = common.stored(found.join(leaders, "key").where("doc <> leader").groupBy(F.col("doc").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("votes")), "star")
     involved = star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct()
-    tokens = docs.select("doc_id", "text").join(_within(involved), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    tokens = docs.select("doc_id", "text").join(within(involved), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     tokens = common.stored(tokens.mapInArrow(_emit_tokens(n), "doc long, tokens array<long>"), "tokens")
 
     def verified(pairs: DataFrame) -> DataFrame:
