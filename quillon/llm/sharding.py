@@ -74,9 +74,9 @@ def place(key: Column, node: Node, path: str = "") -> Column:
     return out
 
 
-def with_slots(placed: DataFrame, order: list[str], buckets: int = BUCKETS) -> DataFrame:
+def with_slots(placed: DataFrame, key: Column, order: list[str], buckets: int = BUCKETS) -> DataFrame:
     """placed with slot: gapless from 0 in each shard. No task sorts a whole shard: rows are numbered per hash bucket, and buckets get offsets from their counts."""
-    table = placed.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    table = placed.withColumn("bucket", (F.conv(F.substring(F.md5(F.concat(key, F.lit("/slot"))), 1, 8), 16, 10).cast("long") % buckets).cast("int"))
     counts = table.groupBy("shard", "bucket").count()
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
@@ -89,7 +89,7 @@ def assign(docs: DataFrame, now: Node, grown: Node) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     sized = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
     placed = common.stored(sized.withColumn("shard", place(key, now)).withColumn("grown_shard", place(key, grown)), "placed")
-    return with_slots(placed, ["doc_id", "text_crc32", "size"])
+    return with_slots(placed, key, ["doc_id", "text_crc32", "size"])
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
