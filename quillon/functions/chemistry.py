@@ -74,3 +74,11 @@ def fold_colour(value: Column, scale: float = 4.0) -> Column:
 
 def band(score: Column) -> Column:
     return F.when(score >= 0.9, "high").when(score >= 0.7, "medium").otherwise("low")
+
+
+def is_water(base: Column, formula: Column, charge: Column) -> Column:
+    return F.coalesce(base.isin("h2o", "cpd00001"), F.lit(False)) | F.coalesce((formula == "H2O") & (charge == 0), F.lit(False))
+
+
+def is_proton(base: Column, formula: Column, charge: Column) -> Column:
+    return F.coalesce(base.isin("h", "cpd00067"), F.lit(False)) | F.coalesce((formula == "H") & (charge == 1), F.lit(False))

@@ -94,6 +94,11 @@ def deleted(objects: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     return left, orphans
 
 
+def registered(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """current and those of new whose key isn't taken."""
+    return current.unionByName(new.dropDuplicates([key]).join(current.select(key), key, "left_anti"))
+
+
 def changed_blobs(objects: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of new(id, content_hash) whose content isn't stored yet; only these need a blob."""
     return new.join(objects.select("content_hash").distinct(), "content_hash", "left_anti")

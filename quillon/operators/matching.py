@@ -169,6 +169,30 @@ def model_comparison(model: DataFrame, other: DataFrame) -> DataFrame:
     return joined.select("reaction", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), "Both").when(F.col("b").isNull(), "ModelOnly").otherwise("OtherOnly").alias("status"))
 
 
+def gene_status(model: DataFrame, other: DataFrame) -> DataFrame:
+    """Per reaction of a model how its genes compare with those of its match: (reaction, gene) on both sides; messenger genes of the match don't count."""
+    mine, theirs = model.select("reaction", "gene").distinct().withColumn("a", F.lit(1)), other.where("not startswith(gene, 'mRNA')").select("reaction", "gene").distinct().withColumn("b", F.lit(1))
+    counted = mine.join(theirs, ["reaction", "gene"], "full").where("gene is not null").groupBy("reaction").agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("m"), F.count_if(F.col("b").isNull()).alias("x"), F.count_if(F.col("a").isNull()).alias("y"))
+    m, x, y = (F.coalesce(F.col(c), F.lit(0)) > 0 for c in "mxy")
+    status = F.when(x & y, "ExtraBoth").when(x & m, "ExtraModel").when(x, "ModelOnly").when(y & m, "ExtraMS").when(y, "MSOnly").when(m, "Match").otherwise("NoGene")
+    return model.select("reaction").distinct().join(counted, "reaction", "left").select("reaction", status.alias("gene_status"))
+
+
+def strong(matches: DataFrame) -> DataFrame:
+    """Compound matches with whether more than a formula speaks for them: matches(query_id, entity_id, evidence)."""
+    return matches.withColumn("strong", F.exists("evidence", lambda e: e != "formula"))
+
+
+def gene_reactions(rules: DataFrame) -> DataFrame:
+    """Reactions of each gene: rules(reaction, gene)."""
+    return rules.groupBy("gene").agg(F.array_sort(F.collect_set("reaction")).alias("reactions"))
+
+
+def exchanges(reactions_: DataFrame) -> DataFrame:
+    """Exchange reactions by standard id; of several of one id the last counts: reactions(id, at)."""
+    return reactions_.where("startswith(id, 'EX_')").groupBy(names.exchange(F.col("id")).alias("exchange")).agg(F.max_by("id", "at").alias("id"))
+
+
 def attached(ids: DataFrame, info: DataFrame, key: str) -> DataFrame:
     """ids with what is known of them, null where nothing is."""
     return ids.join(info, key, "left")
