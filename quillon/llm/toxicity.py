@@ -6,8 +6,8 @@ and of entries that stand for the same rows only the longest common beginning st
 within an exception phrase (given, or learnt as a two-word phrase that only clean rows hold) don't count. A text's
 evidence is the sum of its matches' weights, also per word; a logistic fit on the labelled rows makes a score of both.
 
-Defined results: null and empty texts have no evidence and get the score of such; without labelled rows of both kinds
-the lexicon is empty and every score is the share of toxic rows (0 without any); of several labels for a document the
+Defined results: null and empty texts have no evidence and get the score of such, below 0.5; without labelled rows of
+both kinds the lexicon is empty and every score is the share of toxic rows (0 without any), still below 0.5; of several labels for a document the
 larger counts; repeated rows score alike; other columns aren't read.
 """
 
@@ -30,6 +30,8 @@ FIT_ROWS = 8_000
 #: Entries of a lexicon at most, by weight times support.
 ENTRIES = 2_000
 PREFIXES = range(4, 13)
+#: The highest score of a text without a match, however many labelled rows are toxic.
+UNSEEN = 0.49
 SUPPORT = 3
 WEIGHT = 2.5
 #: Characters that stand for Latin letters.
@@ -119,7 +121,8 @@ class Lexicon:
     def score(self, text: str) -> float:
         a, b, c = self.fit
         x, y = self.evidence(text)
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, a + b * math.log1p(x) + c * math.log1p(y)))))
+        p = 1 / (1 + math.exp(-max(-60.0, min(60.0, a + b * math.log1p(x) + c * math.log1p(y)))))
+        return p if x else min(p, UNSEEN)
 
 
 def _count_beginnings(batches):
