@@ -33,6 +33,8 @@ THRESHOLD = 80  # hundredths
 #: A signature that more classes share is hot; a document leaves out hot ones of this weight at most, or none.
 HOT = 64
 HOT_WEIGHT = 2
+#: Hash classes of the counts that rule out most unlike pairs before whole sets are moved.
+BINS = 256
 #: Largest size of a set for which schemes are laid out, in bands; larger sets extend them.
 BAND_GROWTH = 1.25
 #: Rows of ids that may be broadcast (16 bytes each); more go through a shuffled join.
@@ -61,44 +63,46 @@ class Scheme:
     """The layout for pairs whose smaller set has low..high elements."""
 
     def __init__(self, number: int, low: int, high: int, threshold: int):
-        self.number, self.low, self.high = number, low, high
+        self.number, self.low, self.high, self.threshold = number, low, high, threshold
         self.top = high * 100 // threshold
         self.differ = (high + self.top) * (100 - threshold) // (100 + threshold)
         self.hot_weight = HOT_WEIGHT if self.differ >= 12 else 0
         best = None
         mean = (low + self.top) / 2
-        for m in range(max(1, (self.differ + 1) // 2), self.differ + 2 + max(2, self.differ // 2)):
+        for m in range(max(1, (self.differ + 1) // 2), self.differ + 2 + max(4, self.differ)):
             empty = m * (1 - 1 / m) ** low if m > 1 else 0.0
-            c = math.ceil(empty + 4 * math.sqrt(empty))
-            u = self.differ + 1 + c + self.hot_weight - m
-            if not 0 <= u <= m:
+            c = math.ceil(empty + 3 * math.sqrt(empty))
+            u = max(0, self.differ + 1 + c + self.hot_weight - m)
+            if u > m:
                 continue
-            cost = m + u * mean / m + 20 * empty
+            cost = self.differ + 1 + c + u * (mean / m - 1)
             if best is None or cost < best[0]:
                 best = (cost, m, u, c)
-        if best is None:  # one exact signature of everything can't be beaten
-            c = 0
-            m = self.differ + 1 + self.hot_weight
-            best = (0, m, 0, c)
         _, self.m, self.u, self.c = best
         self.mask = common.mix(np.arange(self.m, dtype=np.uint64) + np.uint64((number + 1) << 40))
         self.tag = np.full(self.m, number << 1, np.uint64)
         self.tag[: self.u] |= np.uint64(1)
 
     def signatures(self, tokens: np.ndarray, mixed: np.ndarray) -> np.ndarray:
-        m = self.m
+        m, u, size = self.m, self.u, len(tokens)
         segment = ((tokens >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
         total = np.zeros(m, np.uint64)
         np.add.at(total, segment, mixed)
         count = np.bincount(segment, minlength=m)
-        exact = self._key(total, slice(None))
-        near = segment < self.u
+        # a set smaller than the scheme's largest can differ by less, and needs fewer of the segments; the last are left out
+        t = self.threshold
+        own = max((size + size * 100 // t if size <= self.high else 0), size + min(size, self.high)) * (100 - t) // (100 + t)
+        used = max(u, min(m, own + 1 + self.c + self.hot_weight - u))
+        weight = int(np.count_nonzero(count[u:] == 0) + 2 * np.count_nonzero(count[:u] <= 1))  # neighbourhoods reach the empty signature from one element
+        bare = weight > self.c
+        exact = self._key(total[:used], slice(0, used))
+        if not bare:
+            exact = exact[count[:used] > 0]
+        if not u:
+            return exact
+        near = segment < u
         less = self._key(total[segment[near]] - mixed[near], segment[near])
-        bare = int(np.count_nonzero(count == 0) + np.count_nonzero(count[: self.u] <= 1))  # neighbourhoods reach the empty signature from one element
-        weight = int(np.count_nonzero(count[self.u :] == 0) + 2 * np.count_nonzero(count[: self.u] <= 1))
-        if bare and weight <= self.c:
-            return np.concatenate([exact[count > 0], less[count[segment[near]] > 1]])
-        return np.concatenate([exact, less])
+        return np.concatenate([exact, less if bare else less[count[segment[near]] > 1]])
 
     def _key(self, total: np.ndarray, at) -> np.ndarray:
         return (common.mix(total ^ self.mask[at]) << np.uint64(10)) | self.tag[at]
@@ -159,6 +163,36 @@ def _emit_tokens(n: int):
     return run
 
 
+def _emit_bins(n: int):
+    """How many elements of a set fall into each of BINS hash classes; a pair shares no more than the sum of the lesser counts."""
+
+    def run(batches):
+        for rows, data, offsets in common.steps(batches):
+            found = sets_of(data, offsets, n)
+            bins = [np.minimum(np.bincount((t & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 65_535).astype(np.uint16).tobytes() for t in found]
+            sizes = [len(t) if len(t) <= 65_535 else 1 << 40 for t in found]  # counts of larger sets may be cut, so these are never ruled out
+            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(bins, pa.binary())], names=["doc", "n", "bins"])
+
+    return run
+
+
+def _possible(threshold: int):
+    """Pairs that the bins don't rule out."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, BINS).astype(np.int64) for i in (3, 4))
+            n, m = (batch.column(i).to_numpy() for i in (1, 2))
+            most = np.minimum(x, y).sum(axis=1)
+            sure = (n >= 1 << 40) | (m >= 1 << 40)
+            total = np.where(sure, 0, n + m)
+            good = sure | (100 * most >= threshold * (total - most))
+            pairs = batch.column(0)
+            yield pa.RecordBatch.from_arrays([pairs.field(0), pairs.field(1), pa.array(good)], names=["a", "b", "good"])
+
+    return run
+
+
 def _verifier(threshold: int):
     def run(batches):
         for batch in batches:
@@ -218,38 +252,56 @@ def links(docs: DataFrame, of: DataFrame, n: int = N, threshold: int = THRESHOLD
     found = common.stored(candidates(docs, of, n, threshold), "candidates")
     leaders = found.groupBy("key").agg(F.min("doc").alias("leader"), F.count("*").alias("classes")).where("classes > 1").select("key", "leader")
     star = common.stored(found.join(leaders, "key").where("doc <> leader").groupBy(F.col("doc").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("votes")), "star")
-    involved = star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct()
-    tokens = docs.select("doc_id", "text").join(within(involved), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    tokens = common.stored(tokens.mapInArrow(_emit_tokens(n), "doc long, tokens array<long>"), "tokens")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        sized = tokens.withColumn("n", F.size("tokens"))
-        x, y = sized.toDF("a", "x", "n_a"), sized.toDF("b", "y", "n_b")
-        fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * threshold
-        joined = pairs.select("a", "b").join(x, "a").join(y, "b").where(fits)
+    texts = docs.select("doc_id", "text")
+
+    def of_pairs(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        return texts.join(within(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        bins = common.stored(of_pairs(pairs).mapInArrow(_emit_bins(n), "doc long, n long, bins binary"), "bins")
+        joined = pairs.select("a", "b").join(bins.toDF("a", "n", "x"), "a").join(bins.toDF("b", "m", "y"), "b")
+        left = joined.select(F.struct("a", "b").alias("pair"), "n", "m", "x", "y").mapInArrow(_possible(threshold), "a long, b long, good boolean").where("good").select("a", "b")
+        return common.stored(left, "possible")
+
+    def verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+        joined = pairs.select("a", "b").join(tokens.toDF("a", "x"), "a").join(tokens.toDF("b", "y"), "b")
         return common.stored(joined.select("a", "b", "x", "y").mapInArrow(_verifier(threshold), "a long, b long, good boolean").where("good").select("a", "b"), "verified")
 
-    first = star.groupBy("a").agg(F.max_by("b", F.struct("votes", -F.col("b"))).alias("b"))
-    good = verified(first)
-    roots = common.stored(components(good), "roots")
-    for across in (False, True):
-        named = lambda side: roots.toDF(side, f"root_{side}")
-        if across:
-            placed = found.join(roots.toDF("doc", "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-            mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-            placed = common.stored(placed.join(mixed, "key", "left_semi"), "mixed")
-            pairs = placed.toDF("key", "a", "ra").join(placed.toDF("key", "b", "rb"), "key").where("ra < rb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-            pairs = pairs.join(star.select("a", "b"), ["a", "b"], "left_anti")
-        else:
-            pairs = star.select("a", "b").join(first, ["a", "b"], "left_anti")
-            pairs = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-        more = verified(pairs)
-        bridges = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-        joined = components(bridges)
+    def tokens_of(pairs: DataFrame) -> DataFrame:
+        return common.stored(of_pairs(pairs).mapInArrow(_emit_tokens(n), "doc long, tokens array<long>"), "tokens")
+
+    def placed_in(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Pairs with the components of both."""
+        out = pairs
+        for side in ("a", "b"):
+            out = out.join(roots.toDF(side, f"root_{side}"), side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+        return out
+
+    def bridged(roots: DataFrame, more: DataFrame) -> DataFrame:
+        joined = components(placed_in(roots, more).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
         old = roots.join(joined.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-        new = joined.join(roots.select("node"), "node", "left_anti")
-        roots = common.stored(old.union(new), "roots")
-    return roots
+        return common.stored(old.union(joined.join(roots.select("node"), "node", "left_anti")), "roots")
+
+    likely = possible(star)
+    tokens = tokens_of(likely)
+    ranked = likely.join(star, ["a", "b"])
+    first = common.stored(ranked.groupBy("a").agg(F.max_by("b", F.struct("votes", -F.col("b"))).alias("b")), "first")
+    roots = common.stored(components(verified(first, tokens)), "roots")
+    rest = placed_in(roots, likely.join(first, ["a", "b"], "left_anti")).where("root_a <> root_b").select("a", "b")
+    more = verified(rest, tokens)
+    if not more.isEmpty():
+        roots = bridged(roots, more)
+    placed = found.join(roots.toDF("doc", "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    placed = common.stored(placed.join(mixed, "key", "left_semi"), "mixed")
+    pairs = placed.toDF("key", "a", "ra").join(placed.toDF("key", "b", "rb"), "key").where("ra < rb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = common.stored(pairs.join(star.select("a", "b"), ["a", "b"], "left_anti"), "across")
+    likely = possible(pairs)
+    if likely.isEmpty():
+        return roots
+    more = verified(likely, tokens_of(likely))
+    return roots if more.isEmpty() else bridged(roots, more)
 
 
 def groups(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataFrame:
@@ -257,7 +309,7 @@ def groups(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataFrame
     of = classes(docs, n)
     roots = links(docs, of, n, threshold)
     joined = of.join(roots.toDF("rep", "root"), "rep", "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
+    return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep")).alias("component_id"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
