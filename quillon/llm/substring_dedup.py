@@ -118,13 +118,13 @@ def matches(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame
     """Repeated stretches of windows: (doc_id, at, n, owner), n windows from word at on."""
     texts = docs.select("doc_id", "text").where("doc_id is not null")
     found = texts.mapInArrow(_emit_blocks(window, k), _BLOCK)
-    again = found.groupBy("anchor").agg(F.count("*").alias("all")).where("all > 1").select("anchor")
+    again = common.stored(found.groupBy("anchor").agg(F.count("*").alias("all")).where("all > 1").select("anchor"), "anchors")  # stored: a join with it can then split hot anchors
     found = common.stored(found.join(again, "anchor"), "blocks")
     contents = found.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min("doc_id").alias("owner"))
     # of each block (anchor, content): how often it occurs; of each anchor: how many blocks share it
     contents = common.stored(contents, "contents")
-    shared = contents.join(contents.groupBy("anchor").agg(F.count("*").alias("contents")), "anchor")
-    placed = common.stored(found.join(shared, ["anchor", "content"]).select("doc_id", "at", "n", "times", "contents", "owner"), "placed")
+    shared = contents.join(common.stored(contents.groupBy("anchor").agg(F.count("*").alias("contents")), "anchors"), "anchor")
+    placed = common.stored(found.join(common.stored(shared, "shared"), ["anchor", "content"]).select("doc_id", "at", "n", "times", "contents", "owner"), "placed")
     whole = placed.where("times > 1").select("doc_id", "at", "n", "owner")
     # one holder of each block whose anchor has other blocks stands for it (its owner's first); windows of all others are settled
     partial = placed.where("contents > 1 and doc_id = owner").select("doc_id", "at", "n").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("listed"))
@@ -143,22 +143,22 @@ def parse(found: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            starts, ends, owners = [], [], []
-            for seeds in batch.column(1).to_pylist():
-                a, b, c = [], [], []
-                for s in seeds:
-                    if a and s["owner"] == c[-1] and s["at"] <= b[-1]:
-                        b[-1] = max(b[-1], s["at"] + s["n"])
-                    else:
-                        a.append(s["at"])
-                        b.append(s["at"] + s["n"])
-                        c.append(s["owner"])
-                starts.append(a)
-                ends.append([x + window - 1 for x in b])
-                owners.append(c)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(owners, pa.list_(pa.int64()))], names=["doc_id", "starts", "ends", "owners"]
-            )
+            flat = batch.column(1).flatten()
+            if not len(flat):
+                continue
+            at, n, owner = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            cuts = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            turn = np.ones(len(at), bool)  # another document or another owner
+            turn[1:] = owner[1:] != owner[:-1]
+            turn[cuts[:-1]] = True
+            end = at + n
+            reach = np.maximum.accumulate(np.cumsum(turn) << 32 | end) & 0xFFFFFFFF
+            new = turn.copy()
+            new[1:] |= at[1:] > reach[:-1]
+            begins = np.flatnonzero(new)
+            where = pa.array(np.searchsorted(begins, cuts), pa.int32())
+            columns = ((at[begins], pa.int32()), (np.maximum.reduceat(end, begins) + window - 1, pa.int32()), (owner[begins], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.ListArray.from_arrays(where, pa.array(x, t)) for x, t in columns]], names=["doc_id", "starts", "ends", "owners"])
 
     return listed.mapInArrow(run, "doc_id long, starts array<int>, ends array<int>, owners array<long>")
 
