@@ -32,6 +32,7 @@ ENTRIES = 2_000
 PREFIXES = range(4, 13)
 #: The highest score of a text without a match, however many labelled rows are toxic.
 UNSEEN = 0.49
+#: Toxic rows behind an entry, at least; more where chance alone would find that many for one of all entries.
 SUPPORT = 3
 WEIGHT = 2.5
 #: Characters that stand for Latin letters.
@@ -161,8 +162,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, exceptions:
         share = bad / n if n else 0.0
         return Lexicon({}, set(exceptions), (math.log(max(share, 1e-6) / max(1 - share, 1e-6)), 0.0, 0.0))
     counted = train.select("doc_id", "text", "label").mapInArrow(_count_beginnings, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = common.stored(counted, "entries")
+    support = max(SUPPORT, math.ceil(math.log(max(counted.count(), 2)) / math.log(n / bad)))
     odds = F.log((F.col("toxic") + 0.5) / (bad + 1)) - F.log((F.col("clean") + 0.5) / (n - bad + 1))
-    found = counted.where((F.col("toxic") >= SUPPORT) & (odds >= WEIGHT)).orderBy((odds * F.sqrt("toxic")).desc(), "entry").limit(2 * ENTRIES).collect()
+    found = counted.where((F.col("toxic") >= support) & (odds >= WEIGHT)).orderBy((odds * F.sqrt("toxic")).desc(), "entry").limit(2 * ENTRIES).collect()
     kept = _pick(found, n, bad)
     bare = Lexicon(kept, set(exceptions), (0.0, 0.0, 0.0))
     shared = docs.sparkSession.sparkContext.broadcast((kept, set(exceptions)))  # 2 x ENTRIES at most
