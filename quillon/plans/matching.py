@@ -8,14 +8,17 @@ from quillon.functions import chemistry, names
 from quillon.operators import biochem, genomes, matching
 from quillon.plans import table
 
-#: Part sizes as formulas: carbon by size, hydrogen by key, oxygen where the key is even.
-_FORMULA = F.concat(F.lit("C"), F.col("p_size"), F.lit("H"), F.col("p_partkey") % 7 + 1, F.when(F.col("p_partkey") % 2 == 0, "O2").otherwise("N"))
+def formula():
+    """Part sizes as formulas: carbon by size, hydrogen by key, oxygen where the key is even."""
+    return F.concat(F.lit("C"), F.col("p_size"), F.lit("H"), F.col("p_partkey") % 7 + 1, F.when(F.col("p_partkey") % 2 == 0, "O2").otherwise("N"))
+
+
 _SQL_FORMULA = "'C' || p_size || 'H' || (p_partkey % 7 + 1) || CASE WHEN p_partkey % 2 = 0 THEN 'O2' ELSE 'N' END"
 
 
 def compounds(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    return p.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.array("p_brand").alias("names"), F.create_map(F.lit("kind"), F.array("p_type")).alias("annotation"), _FORMULA.alias("formula"), (F.col("p_partkey") % 3 - 1).cast("int").alias("charge"), (F.col("p_retailprice") - 1000).cast("string").alias("deltag"), F.lit("2").alias("error"))
+    return p.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.array("p_brand").alias("names"), F.create_map(F.lit("kind"), F.array("p_type")).alias("annotation"), formula().alias("formula"), (F.col("p_partkey") % 3 - 1).cast("int").alias("charge"), (F.col("p_retailprice") - 1000).cast("string").alias("deltag"), F.lit("2").alias("error"))
 
 
 def stoichiometry(spark, sf_dir):
@@ -35,7 +38,7 @@ _STD = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
 
 def scored(spark, sf_dir):
     own = compounds(spark, sf_dir)
-    queries = table(spark, sf_dir, "part").where("p_partkey % 40 = 0").select(F.col("p_partkey").alias("query_id"), F.array("p_name", "p_brand").alias("identifiers"), F.array().cast("array<string>").alias("structures"), _FORMULA.alias("formula"))
+    queries = table(spark, sf_dir, "part").where("p_partkey % 40 = 0").select(F.col("p_partkey").alias("query_id"), F.array("p_name", "p_brand").alias("identifiers"), F.array().cast("array<string>").alias("structures"), formula().alias("formula"))
     return matching.compounds(queries, matching.aliases(own), None, own.select(F.col("id").alias("entity_id"), "formula"))
 
 
