@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.llm import common
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pieces that a worker remembers; the memory starts anew when full, results don't depend on it.
-REMEMBERED = 700_000
+#: Pieces, and token pairs, that a worker remembers (some 100 MB); the memory starts anew when full, results don't depend on it.
+REMEMBERED = 250_000
 #: Characters of text that are encoded together.
 STEP_CHARS = 1 << 20
 
@@ -164,6 +164,8 @@ class Encoder:
         fresh = {p for pieces in split for p in pieces if p not in known}
         if len(known) + len(fresh) > REMEMBERED:
             known.clear()
+            if len(self.fits) > REMEMBERED:
+                self.fits.clear()
             fresh = {p for pieces in split for p in pieces}
         if fresh:
             self.learn(list(fresh))
