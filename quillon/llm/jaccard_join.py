@@ -30,9 +30,12 @@ from quillon.llm.components import components
 
 N = 5
 THRESHOLD = 80  # hundredths
-#: A signature that more classes share is hot; a document leaves out hot ones of this weight at most, or none.
-HOT = 64
+#: A signature that more classes share is hot; a document leaves out hot ones of this weight (and of what its empty
+#: segments spare) at most, or none.
+HOT = 12
 HOT_WEIGHT = 2
+#: Members that a hot signature picks for the others to meet.
+PICKS = 4
 #: Hash classes of the counts that rule out most unlike pairs before whole sets are moved.
 BINS = 256
 #: Largest size of a set for which schemes are laid out, in bands; larger sets extend them.
@@ -83,7 +86,8 @@ class Scheme:
         self.tag = np.full(self.m, number << 1, np.uint64)
         self.tag[: self.u] |= np.uint64(1)
 
-    def signatures(self, tokens: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+    def signatures(self, tokens: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, int]:
+        """The signatures of a set, and what weight of hot ones it may leave out: what empty segments don't use up."""
         m, u, size = self.m, self.u, len(tokens)
         segment = ((tokens >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
         total = np.zeros(m, np.uint64)
@@ -98,11 +102,12 @@ class Scheme:
         exact = self._key(total[:used], slice(0, used))
         if not bare:
             exact = exact[count[:used] > 0]
+        spare = self.hot_weight + (0 if bare else self.c - weight)
         if not u:
-            return exact
+            return exact, spare
         near = segment < u
         less = self._key(total[segment[near]] - mixed[near], segment[near])
-        return np.concatenate([exact, less if bare else less[count[segment[near]] > 1]])
+        return np.concatenate([exact, less if bare else less[count[segment[near]] > 1]]), spare
 
     def _key(self, total: np.ndarray, at) -> np.ndarray:
         return (common.mix(total ^ self.mask[at]) << np.uint64(10)) | self.tag[at]
@@ -136,18 +141,19 @@ def _emit_signatures(n: int, threshold: int):
     def run(batches):
         schemes = Schemes(threshold)
         for rows, data, offsets in common.steps(batches):
-            keys, docs = [], []
+            keys, docs, spares = [], [], []
             for doc, tokens in zip(rows.column(0).to_pylist(), sets_of(data, offsets, n)):
                 if len(tokens):
                     mixed = common.mix(tokens)
                     for s in schemes.of(len(tokens)):
-                        own = s.signatures(tokens, mixed)
+                        own, spare = s.signatures(tokens, mixed)
                         keys.append(own)
                         docs.append(np.full(len(own), doc, np.int64))
+                        spares.append(np.full(len(own), spare, np.int32))
             if keys:
-                keys, docs = np.concatenate(keys).view(np.int64), np.concatenate(docs)
-                for at in range(0, len(keys), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 200_000]), pa.array(docs[at : at + 200_000])], names=["key", "doc"])
+                columns = [np.concatenate(keys).view(np.int64), np.concatenate(docs), np.concatenate(spares)]
+                for at in range(0, len(columns[0]), 200_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 200_000]) for c in columns], names=["key", "doc", "spare"])
 
     return run
 
@@ -226,25 +232,16 @@ def classes(docs: DataFrame, n: int = N) -> DataFrame:
 
 
 def candidates(docs: DataFrame, of: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataFrame:
-    """(key, doc) of all signatures that two or more classes share, hot ones left out where that is safe."""
+    """(key, doc, hot) of all signatures that two or more classes share, hot ones left out where that is safe."""
     texts = docs.select("doc_id", "text").where("doc_id is not null")
     copies = of.where("doc_id <> rep").select("doc_id").distinct()
     reps = texts.join(within(copies), "doc_id", "left_anti")
-    signatures = reps.mapInArrow(_emit_signatures(n, threshold), "key long, doc long")
+    signatures = reps.mapInArrow(_emit_signatures(n, threshold), "key long, doc long, spare int")
     shared = common.stored(signatures.withColumn("classes", F.count("*").over(Window.partitionBy("key"))).where("classes > 1"), "signatures")
-    scheme = F.shiftrightunsigned(F.col("key").bitwiseAND(1023), 1)
-    weight = F.col("key").bitwiseAND(1) + 1
-    allowed = [s.hot_weight for s in _laid_out(threshold)]
-    may = F.element_at(F.array(*map(F.lit, allowed)), (F.least(scheme, F.lit(len(allowed) - 1)) + 1).cast("int"))
-    hot = shared.where(F.col("classes") > HOT).withColumns({"scheme": scheme, "weight": weight, "may": may})
-    keep = hot.groupBy("doc", "scheme").agg(F.sum("weight").alias("weight"), F.max("may").alias("may")).where("weight > may").select("doc", "scheme")
-    return shared.where(F.col("classes") <= HOT).select("key", "doc").union(hot.join(keep, ["doc", "scheme"], "left_semi").select("key", "doc"))
-
-
-def _laid_out(threshold: int) -> list[Scheme]:
-    schemes = Schemes(threshold)
-    schemes.of(100)
-    return schemes.list
+    hot = shared.where(F.col("classes") > HOT).withColumn("scheme", F.shiftrightunsigned(F.col("key").bitwiseAND(1023), 1))
+    keep = hot.groupBy("doc", "scheme").agg(F.sum(F.col("key").bitwiseAND(1) + 1).alias("weight"), F.min("spare").alias("spare")).where("weight > spare").select("doc", "scheme")
+    cold = shared.where(F.col("classes") <= HOT).select("key", "doc", F.lit(False).alias("hot"))
+    return cold.union(hot.join(keep, ["doc", "scheme"], "left_semi").select("key", "doc", F.lit(True)))
 
 
 def links(docs: DataFrame, of: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataFrame:
@@ -252,6 +249,13 @@ def links(docs: DataFrame, of: DataFrame, n: int = N, threshold: int = THRESHOLD
     found = common.stored(candidates(docs, of, n, threshold), "candidates")
     leaders = found.groupBy("key").agg(F.min("doc").alias("leader"), F.count("*").alias("classes")).where("classes > 1").select("key", "leader")
     star = common.stored(found.join(leaders, "key").where("doc <> leader").groupBy(F.col("doc").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("votes")), "star")
+    # members of large groups also meet some picked ones, a few others for each signature, before the rest is compared in full
+    large = found.where("hot")
+    picks = large.groupBy("key").agg(*[F.min_by("doc", F.xxhash64("doc", "key", F.lit(i))).alias(f"p{i}") for i in range(PICKS)])
+    met = large.join(picks, "key").select("doc", F.explode(F.array(*[f"p{i}" for i in range(PICKS)])).alias("pick")).where("doc <> pick").distinct()
+    chosen = met.groupBy("doc").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("doc", "pick").alias("h"), "pick"))), 1, 2 * PICKS).alias("ps")).select("doc", F.explode("ps.pick").alias("pick"))
+    picked = chosen.select(F.greatest("doc", "pick").alias("a"), F.least("doc", "pick").alias("b"), F.lit(0).cast("long").alias("votes"))
+    star = common.stored(star.union(picked).groupBy("a", "b").agg(F.sum("votes").alias("votes")), "star")
     texts = docs.select("doc_id", "text")
 
     def of_pairs(pairs: DataFrame) -> DataFrame:
@@ -292,7 +296,7 @@ def links(docs: DataFrame, of: DataFrame, n: int = N, threshold: int = THRESHOLD
     more = verified(rest, tokens)
     if not more.isEmpty():
         roots = bridged(roots, more)
-    placed = found.join(roots.toDF("doc", "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    placed = found.join(roots.toDF("doc", "root"), "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     placed = common.stored(placed.join(mixed, "key", "left_semi"), "mixed")
     pairs = placed.toDF("key", "a", "ra").join(placed.toDF("key", "b", "rb"), "key").where("ra < rb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
