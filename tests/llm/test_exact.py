@@ -194,6 +194,38 @@ def test_line_dedup(spark, rng):
     assert got == want and gone
 
 
+def line_roots(docs):
+    """Each place of a node, and the group of lines it is in by all links of near SimHashes."""
+    occurrences, bodies, hashes = brute_lines(docs)
+    up = list(range(len(bodies)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(bodies):
+        for j, b in enumerate(bodies[:i]):
+            if (hashes[i] ^ hashes[j]).bit_count() <= line_dedup.DISTANCE and line_dedup.similar(a, b):
+                up[root(i)] = root(j)
+    group = defaultdict(list)
+    for i, b in enumerate(bodies):
+        group[root(i)] += occurrences[b]
+    return {p: min(places) for places in group.values() for p in places}
+
+
+def test_lines_that_fail_against_the_first_of_their_simhash(spark, rng):
+    texts = [" ".join(["ha"] * n) for n in (5, 6, 9, 10, 14, 22, 23, 40, 41, 70, 71, 72, 110)]
+    tails = [prose(rng, 2) for _ in range(12)]
+    texts += [" ".join(["ho"] * n + tail) for n in (8, 13, 30, 31) for tail in tails]
+    texts += [" ".join(["ho"] * 30 + tail + prose(rng, 12)) for tail in tails]
+    docs = frame(spark, texts)
+    want = line_roots(texts_of(docs))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs).collect()}
+    assert got == {d: t if want[d, 0] == (d, 0) else "" for d, t in texts_of(docs)}
+    assert not got[8] and not got[6] and not got[10] and len(set(want.values())) > 6  # 40 and 41 repeats are one line, 22 and 23, 70 and 71
+
+
 # --- benchmark items
 
 
