@@ -6,6 +6,7 @@ more than `coverage` is marked.
 
 Defined results: null and empty texts have no words and no hits; items without an id, text or words take no part; rows
 of one item id count as one item; repeated documents are judged one by one; other columns are neither read nor changed.
+A benchmark of several blocks marks what one block would: all blocks are matched on the whole texts before any is cut.
 An empty benchmark leaves everything clean.
 """
 
@@ -242,39 +243,82 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     """docs with all marked spans cut from the texts; documents marked over more than `coverage` of their words go.
 
     Columns stay as they are but for text (and n_chars, where there is one, which follows the text)."""
-    spark = docs.sparkSession
     names = docs.columns
-    out = docs
-    for block in _blocks(benchmark, block_bytes):
-        shared = spark.sparkContext.broadcast((block, window))
-        out = out.mapInArrow(_cutter(shared, coverage), docs.schema)
+    rest = [c for c in names if c != "text"]
+    inner = docs.select("text", F.struct(*rest).alias("rest") if rest else F.lit(None).cast("string").alias("rest"))
+    cut = _marked(inner, benchmark, window, block_bytes, _cutter(coverage), inner.schema)
+    out = cut.select("text", *([F.col("rest")[c].alias(c) for c in rest]))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*names)
 
 
-def _cutter(shared, coverage: float):
-    def run(batches):
+def _marked(rows: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, finish, schema) -> DataFrame:
+    """What finish makes of rows (text and others) with n_words, starts, ends and items.
+
+    Each block's pass adds to what those before it found on the same texts; the last one also finishes."""
+    spark = rows.sparkSession
+    out = rows.select("*", F.lit(0).cast("long").alias("n_words"), *[F.array().cast(f"array<{t}>").alias(c) for c, t in (("starts", "int"), ("ends", "int"), ("items", "string"))])
+    blocks = _blocks(benchmark, block_bytes)
+    block = next(blocks)
+    while block is not None:
+        after = next(blocks, None)
+        shared = spark.sparkContext.broadcast((block, window))  # at most block_bytes and one item
+        out = out.mapInArrow(_marker(shared, None if after else finish), out.schema if after else schema)
+        block = after
+    return out
+
+
+def _union(starts: list[int], ends: list[int]) -> tuple[list[int], list[int]]:
+    """The union of spans, merged where they meet."""
+    first, last = [], []
+    for a, b in sorted(zip(starts, ends)):
+        if last and a <= last[-1]:
+            last[-1] = max(last[-1], b)
+        else:
+            first.append(a)
+            last.append(b)
+    return first, last
+
+
+def _marker(shared, finish=None):
+    def mark(batches):
         automaton = Automaton(*shared.value)
         for rows, data, offsets in common.steps(batches):
-            lowered = common._LOWER[data]
-            starts, ends, first = common.spans_of(lowered, offsets, "alnum")
-            found = automaton.scan(common.hashed(lowered, starts, ends), first)
-            at = rows.schema.get_field_index("text")
-            texts, keep = None, None
-            for d, (a, b, _) in enumerate(found):
-                if not a:
-                    continue
-                if texts is None:
-                    texts, keep = rows.column(at).to_pylist(), [True] * rows.num_rows
-                keep[d] = sum(b) - sum(a) <= coverage * (first[d + 1] - first[d])
-                body, parts, done = data[offsets[d] : offsets[d + 1]].tobytes(), [], 0
-                for s, e in zip(a, b):
-                    parts.append(body[done : starts[first[d] + s] - offsets[d]])
-                    done = ends[first[d] + e - 1] - offsets[d]
-                parts.append(body[done:])
-                texts[d] = b"".join(parts).decode()
-            if texts is not None:
+            h, first = common.words(data, offsets, "alnum", lower=True)
+            found = automaton.scan(h, first)
+            at = rows.schema.get_field_index("n_words")
+            had = zip(*(rows.column(at + i).to_pylist() for i in (1, 2, 3)))
+            spans, items = [], []
+            for (a, b, have), (x, y, names) in zip(found, had):
+                spans.append(_union(x + a, y + b))
+                items.append(sorted({*names, *have}))
+            columns = [pa.array(np.diff(first)), pa.array([a for a, _ in spans]), pa.array([b for _, b in spans]), pa.array(items)]
+            types = rows.schema.types[at:]
+            yield pa.RecordBatch.from_arrays([*rows.columns[:at], *[c.cast(t) for c, t in zip(columns, types)]], schema=rows.schema)
+
+    return (lambda batches: finish(mark(batches))) if finish else mark
+
+
+def _cutter(coverage: float):
+    def run(batches):
+        for rows, data, offsets in common.steps(batches):
+            at, marks = rows.schema.get_field_index("text"), rows.schema.get_field_index("n_words")
+            counts, spans = rows.column(marks).to_pylist(), list(zip(rows.column(marks + 1).to_pylist(), rows.column(marks + 2).to_pylist()))
+            rows = rows.select(rows.schema.names[:marks])
+            if any(a for a, _ in spans):
+                starts, ends, first = common.spans_of(common._LOWER[data], offsets, "alnum")
+                texts, keep = rows.column(at).to_pylist(), [True] * rows.num_rows
+                for d, (a, b) in enumerate(spans):
+                    if not a:
+                        continue
+                    keep[d] = sum(b) - sum(a) <= coverage * counts[d]
+                    body, parts, done = data[offsets[d] : offsets[d + 1]].tobytes(), [], 0
+                    for s, e in zip(a, b):
+                        parts.append(body[done : starts[first[d] + s] - offsets[d]])
+                        done = ends[first[d] + e - 1] - offsets[d]
+                    parts.append(body[done:])
+                    texts[d] = b"".join(parts).decode()
                 rows = rows.set_column(at, rows.schema.field(at), pa.array(texts, rows.schema.field(at).type)).filter(pa.array(keep))
             if rows.num_rows:
                 yield rows

@@ -273,6 +273,25 @@ def test_decontamination(spark, rng, block):
             assert len(alnum(cleaned[d])) == want[d][0] - want[d][1] and (want[d][4] or cleaned[d] == t)
 
 
+def test_cleaning_does_not_depend_on_blocks(spark, rng):
+    words = [f"{a}{i}" for a in "abc" for i in range(40)]
+    one, two = words[:25], words[20:45]  # the end of one is the beginning of two
+    items = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two)), (3, " ".join(words[60:72]))], "item_id long, text string")
+    own = prose(rng, 5)
+    texts = {
+        "half each": " ".join(one[:12] + own + two[10:22]),  # more than 0.8 with both blocks, less with each
+        "overlap": " ".join(own * 6 + words[10:40] + own * 6),
+        "joined": " ".join(own * 6 + words[60:66] + one[:12] + words[66:72] + own * 6),  # a window of 3 only once 1 is cut
+        "clean": " ".join(own * 3),
+    }
+    docs = spark.createDataFrame([(t, k, i) for i, (k, t) in enumerate(texts.items())] + [(None, "null", 9), ("", "empty", None)], "text string, rest string, starts int")
+    want = {"overlap": " ".join(own * 6 + own * 6), "joined": " ".join(own * 6 + words[60:66] + words[66:72] + own * 6), "clean": texts["clean"], "null": None, "empty": ""}
+    for block in (decontaminate.BLOCK_BYTES, 10):
+        out = decontaminate.clean(docs, items, block_bytes=block)
+        assert out.schema == docs.schema
+        assert {r["rest"]: r["text"] and " ".join(r["text"].split()) for r in out.collect()} == want
+
+
 # --- repeated passages
 
 
