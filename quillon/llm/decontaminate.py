@@ -27,6 +27,7 @@ WINDOW = 10
 BLOCK_BYTES = 4 << 20
 
 SCHEMA = "doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>"
+SCHEMA_NAMES = ["doc_id", "n_words", "starts", "ends", "items"]
 
 
 class Automaton:
@@ -179,40 +180,8 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: n_words, marked word spans (starts, ends), and the ids of items with occurring windows."""
-    spark = docs.sparkSession
-    passes = []
-    for block in _blocks(benchmark, block_bytes):
-        shared = spark.sparkContext.broadcast((block, window))  # at most block_bytes and one item
-        passes.append(docs.select("doc_id", "text").mapInArrow(_scanner(shared), SCHEMA))
-    if len(passes) == 1:
-        return passes[0]
-    numbered = None
-    for one in passes:
-        numbered = one if numbered is None else numbered.unionByName(one)
-    merged = numbered.groupBy("doc_id", "n_words").agg(
-        F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-    )
-    return merged.select("doc_id", "n_words", F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), "items")
-
-
-def _scanner(shared):
-    def run(batches):
-        automaton = Automaton(*shared.value)
-        for rows, data, offsets in common.steps(batches):
-            h, first = common.words(data, offsets, "alnum", lower=True)
-            found = automaton.scan(h, first)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    rows.column(0).cast(pa.int64()),
-                    pa.array(np.diff(first), pa.int64()),
-                    pa.array([f[0] for f in found], pa.list_(pa.int32())),
-                    pa.array([f[1] for f in found], pa.list_(pa.int32())),
-                    pa.array([f[2] for f in found], pa.list_(pa.string())),
-                ],
-                names=["doc_id", "n_words", "starts", "ends", "items"],
-            )
-
-    return run
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _marked(rows, benchmark, window, block_bytes, lambda batches: (batch.select(SCHEMA_NAMES) for batch in batches), SCHEMA)
 
 
 def marked(starts: list[int], ends: list[int]) -> int:

@@ -292,6 +292,15 @@ def test_cleaning_does_not_depend_on_blocks(spark, rng):
         assert {r["rest"]: r["text"] and " ".join(r["text"].split()) for r in out.collect()} == want
 
 
+def test_rows_stay_apart_whatever_the_blocks(spark):
+    items = spark.createDataFrame([(1, "one two three four"), (2, "five six seven eight")], "item_id long, text string")
+    docs = spark.createDataFrame([(None, "one two three four x y"), (None, "a b five six seven eight"), (7, "one two three four"), (7, "one two three four")], "doc_id long, text string")
+    want = [(7, 4, 4, 1), (7, 4, 4, 1), (None, 6, 4, 1), (None, 6, 4, 1)]
+    for block in (decontaminate.BLOCK_BYTES, 10):
+        rows = decontaminate.digest(decontaminate.hits(docs, items, block_bytes=block)).select("doc_id", "n_words", "n_hit", "n_items").collect()
+        assert sorted(map(tuple, rows), key=str) == want
+
+
 # --- repeated passages
 
 
