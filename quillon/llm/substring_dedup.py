@@ -1,12 +1,13 @@
-"""Substring dedup by relative Lempel-Ziv parsing of every document against the corpus itself.
+"""Substring dedup by counting content-defined blocks and windows over the corpus itself.
 
 The reference is the corpus, cut into blocks where its content says so: of each window of `window` words, the 8-gram with
 the smallest hash is its anchor; the consecutive windows of one anchor are a block. Equal windows have equal anchors. An
 index spread over the cluster by hash holds all blocks, by anchor and by the hash of the block's words. A document is
-parsed greedily: a block that occurs twice is matched as a whole, and its owner is the smallest doc_id that holds it; of
-a block whose anchor recurs in other words, each window is looked up on its own (this is the check at factor
-boundaries). Matches that follow each other without a gap and have one owner make a factor; a factor is `window` words
-at least, and its words are a duplicate span. A window whose anchor occurs once can't repeat, so nothing is lost.
+matched by counts, in place of a greedy parse: a block that occurs twice is matched as a whole, and its owner is the
+smallest doc_id that holds it; of a block whose anchor recurs in other words, each window is looked up on its own (this
+is the check at factor boundaries). Matches that follow each other without a gap and have one owner make a factor; a
+factor is `window` words at least, and its words are a duplicate span. A window whose anchor occurs once can't repeat,
+so nothing is lost.
 
 Defined results: null and empty texts have no words and lose none; repeated rows are duplicates of each other; a window
 that repeats within one document counts; documents shorter than the window keep everything. doc_id should be unique:
@@ -138,7 +139,7 @@ def matches(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame
 
 
 def parse(found: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Greedy factors of each document: (doc_id, starts, ends, owners) in words."""
+    """Repeats of each document merged into factors by owner: (doc_id, starts, ends, owners) in words."""
     listed = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "n", "owner"))).alias("listed"))
 
     def run(batches):
