@@ -1,28 +1,37 @@
 """N-gram Jaccard join by universe-partition pigeonhole.
 
 A document is the set of its distinct word 5-grams. Equal sets form a class first, so copies cost one row each and no
-pairs. For the classes, sizes are banded; a scheme covers the pairs whose smaller set lies in one band, and fixes how
-many elements (H) two linked sets can differ by. Elements are hashed into m segments, u of which also get one-deletion
-neighbourhoods. Two linked sets then agree (or differ by one element, where neighbourhoods are kept) in segments of
-total weight m + u - H at least. m and u are chosen by cost per scheme so that this exceeds what a document may leave
-out: empty segments up to `c`, and hot signatures up to `HOT_WEIGHT`. A document with more of either leaves out none.
-
-Candidates of a signature link to its smallest document, best-supported first; what isn't connected by verified links
-after that is compared with every document of another component under the same signature. Verification is exact, on
-whole sets, so no link between components is lost, and groups of copies never become all pairs.
+pairs. Sizes are banded; a scheme covers the pairs whose smaller set lies in one band, and fixes how many elements two
+linked sets can differ by. Elements are hashed into m segments, u of which also get one-deletion neighbourhoods. Two sets
+that differ by D elements then agree (or differ by one element, where neighbourhoods are kept) in segments of total
+weight m + u - D at least; m and u are chosen by cost so that this exceeds the weight of the empty segments that a set
+leaves out. A set with more empty segments than that leaves out none.
+
+The index is laid out twice. The first layout covers all classes and only tells which of them share a signature with
+another at all. For those, elements are counted: one that no other of them holds can't be shared, so a class with fewer
+than 80 % shared elements has no link and goes. The second layout covers what is left, on the shared elements alone: its
+own elements count as differences from the start, so two classes may differ by so much less elsewhere, and the segments
+are fewer and more telling. Classes are dealt by the share of the allowed difference that their own elements use up
+(`GRADES` grades), and each two grades have a layout of their own.
+
+Candidates of a signature meet its smallest class, best-supported first; what isn't connected by verified links after
+that is compared with every class of another component under the same signature. A pair is made only if the counts of
+shared elements, and the parities of `PARITY` hash classes of elements (each element two sets differ by changes one
+parity), allow a link. Verification is exact, on whole sets, so no link between components is lost.
 
 Defined results: null and empty texts have empty sets and link with nothing; shorter texts than n words are one element,
-their whole word sequence; repeated rows are one class; null doc_id rows are returned with component null. Other columns
-aren't read.
+their whole word sequence; repeated rows are one class; of rows with one doc_id and different texts each is judged by its
+own text; null doc_id rows are returned with component null. Other columns aren't read.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm import common
@@ -30,16 +39,12 @@ from quillon.llm.components import components
 
 N = 5
 THRESHOLD = 80  # hundredths
-#: A signature that more classes share is hot; a document leaves out hot ones of this weight (and of what its empty
-#: segments spare) at most, or none.
-HOT = 12
-HOT_WEIGHT = 2
-#: Members that a hot signature picks for the others to meet.
-PICKS = 4
-#: Hash classes of the counts that rule out most unlike pairs before whole sets are moved.
-BINS = 256
-#: Largest size of a set for which schemes are laid out, in bands; larger sets extend them.
+#: Bands of set sizes grow by this factor; larger sets extend the bands.
 BAND_GROWTH = 1.25
+#: Grades of the share of the allowed difference that elements of one class alone use up.
+GRADES = 8
+#: Longs of 64 parities each.
+PARITY = 8
 #: Rows of ids that may be broadcast (16 bytes each); more go through a shuffled join.
 BROADCAST_ROWS = 1_000_000
 
@@ -62,55 +67,95 @@ def sets_of(data: np.ndarray, offsets: np.ndarray, n: int = N) -> list[np.ndarra
     return out
 
 
-class Scheme:
-    """The layout for pairs whose smaller set has low..high elements."""
+def class_of(tokens: np.ndarray) -> int:
+    """The class of a set: a hash of all its elements."""
+    low, high = (int(common.mix(tokens ^ np.uint64(k)).sum(dtype=np.uint64)) for k in (0, 0x5BF03635))
+    mixed = common.mix(np.array([low, high ^ len(tokens)], np.uint64))
+    return int(common.mix(mixed[:1] + (mixed[1:] << np.uint64(1)))[0].view(np.int64))
 
-    def __init__(self, number: int, low: int, high: int, threshold: int):
-        self.number, self.low, self.high, self.threshold = number, low, high, threshold
-        self.top = high * 100 // threshold
-        self.differ = (high + self.top) * (100 - threshold) // (100 + threshold)
-        self.hot_weight = HOT_WEIGHT if self.differ >= 12 else 0
+
+class Layout:
+    """Segments for pairs that differ by `differ` elements at most, in sets of about `low` to `mean` elements."""
+
+    def __init__(self, differ: int, low: int, mean: float, salt: int):
         best = None
-        mean = (low + self.top) / 2
-        for m in range(max(1, (self.differ + 1) // 2), self.differ + 2 + max(4, self.differ)):
+        for m in range(max(1, (differ + 1) // 2), differ + 2 + max(4, differ)):
             empty = m * (1 - 1 / m) ** low if m > 1 else 0.0
             c = math.ceil(empty + 3 * math.sqrt(empty))
-            u = max(0, self.differ + 1 + c + self.hot_weight - m)
+            u = max(0, differ + 1 + c - m)
             if u > m:
                 continue
-            cost = self.differ + 1 + c + u * (mean / m - 1)
+            cost = differ + 1 + c + u * (mean / m - 1)
             if best is None or cost < best[0]:
                 best = (cost, m, u, c)
         _, self.m, self.u, self.c = best
-        self.mask = common.mix(np.arange(self.m, dtype=np.uint64) + np.uint64((number + 1) << 40))
-        self.tag = np.full(self.m, number << 1, np.uint64)
-        self.tag[: self.u] |= np.uint64(1)
+        self.mask = common.mix((np.arange(self.m, dtype=np.uint64) << np.uint64(32)) + np.uint64(salt))
 
-    def signatures(self, tokens: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, int]:
-        """The signatures of a set, and what weight of hot ones it may leave out: what empty segments don't use up."""
-        m, u, size = self.m, self.u, len(tokens)
+    def signatures(self, tokens: np.ndarray, mixed: np.ndarray, differ: int) -> np.ndarray:
+        """The signatures of a set whose partners differ by `differ` elements at most: it needs the first segments only."""
+        m, u = self.m, self.u
         segment = ((tokens >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
         total = np.zeros(m, np.uint64)
         np.add.at(total, segment, mixed)
         count = np.bincount(segment, minlength=m)
-        # a set smaller than the scheme's largest can differ by less, and needs fewer of the segments; the last are left out
-        t = self.threshold
-        own = max((size + size * 100 // t if size <= self.high else 0), size + min(size, self.high)) * (100 - t) // (100 + t)
-        used = max(u, min(m, own + 1 + self.c + self.hot_weight - u))
-        weight = int(np.count_nonzero(count[u:] == 0) + 2 * np.count_nonzero(count[:u] <= 1))  # neighbourhoods reach the empty signature from one element
-        bare = weight > self.c
-        exact = self._key(total[:used], slice(0, used))
+        used = max(u, min(m, differ + 1 + self.c - u))
+        bare = np.count_nonzero(count[u:] == 0) + 2 * np.count_nonzero(count[:u] <= 1) > self.c  # neighbourhoods reach the empty signature from one element
+        exact = common.mix(total[:used] ^ self.mask[:used])
         if not bare:
             exact = exact[count[:used] > 0]
-        spare = self.hot_weight + (0 if bare else self.c - weight)
         if not u:
-            return exact, spare
+            return exact
         near = segment < u
-        less = self._key(total[segment[near]] - mixed[near], segment[near])
-        return np.concatenate([exact, less if bare else less[count[segment[near]] > 1]]), spare
+        less = common.mix((total[segment[near]] - mixed[near]) ^ self.mask[segment[near]])
+        return np.concatenate([exact, less if bare else less[count[segment[near]] > 1]])
+
 
-    def _key(self, total: np.ndarray, at) -> np.ndarray:
-        return (common.mix(total ^ self.mask[at]) << np.uint64(10)) | self.tag[at]
+class Scheme:
+    """The layouts for pairs whose smaller set has low..high elements."""
+
+    def __init__(self, number: int, low: int, high: int, threshold: int):
+        self.number, self.low, self.high, self.threshold = number, low, high, threshold
+        self.top = high * 100 // threshold
+        self.differ = self.most(high, self.top)
+        self.all = Layout(self.differ, low, (low + self.top) / 2, number << 8)
+        self.graded: dict[int, Layout | None] = {}
+
+    def most(self, a: int, b: int) -> int:
+        """Elements that linked sets of a and b elements can differ by."""
+        return (a + b) * (100 - self.threshold) // (100 + self.threshold)
+
+    def own(self, size: int) -> int:
+        """Elements that a set of this size and a linked one of the scheme can differ by."""
+        return self.most(size, max(min(size * 100 // self.threshold, self.top) if size <= self.high else 0, min(size, self.high)))
+
+    def grade(self, alone: int) -> int:
+        return alone * GRADES // (self.differ + 1)
+
+    def least(self, grade: int) -> int:
+        """Elements of one class alone that a grade means, at least."""
+        return -(-grade * (self.differ + 1) // GRADES)
+
+    def layout(self, one: int, other: int) -> Layout | None:
+        """The layout of two grades; None if they leave no room for a link."""
+        one, other = sorted((one, other))
+        at = one * GRADES + other
+        if at not in self.graded:
+            left = self.differ - self.least(one) - self.least(other)
+            low = max(1, -(-self.low * self.threshold // 100))
+            self.graded[at] = Layout(left, low, (low + self.top) / 2, (self.number << 8) + at + 1) if left >= 0 else None
+        return self.graded[at]
+
+    def signatures(self, tokens: np.ndarray, mixed: np.ndarray, size: int) -> list[np.ndarray]:
+        """Of the shared elements of a set of this size, in the layouts of all grades that may hold a linked set."""
+        alone, out = size - len(tokens), []
+        for other in range(GRADES):
+            left = self.own(size) - alone - self.least(other)
+            if left < 0:
+                break
+            found = self.layout(self.grade(alone), other)
+            if found is not None:
+                out.append(found.signatures(tokens, mixed, left))
+        return out
 
 
 class Schemes:
@@ -129,90 +174,98 @@ def _emit_sets(n: int):
     def run(batches):
         for rows, data, offsets in common.steps(batches):
             found = sets_of(data, offsets, n)
-            size = np.array([len(t) for t in found], np.int64)
-            low = np.array([common.mix(t).sum(dtype=np.uint64) if len(t) else 0 for t in found], np.uint64)
-            high = np.array([common.mix(t ^ np.uint64(0x5BF03635)).sum(dtype=np.uint64) if len(t) else 0 for t in found], np.uint64)
-            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(size), pa.array(low.view(np.int64)), pa.array(high.view(np.int64))], names=["doc_id", "n_shingles", "low", "high"])
+            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array([len(t) for t in found], pa.int64()), pa.array([class_of(t) for t in found], pa.int64())], names=["doc_id", "n_shingles", "class"])
 
     return run
 
 
-def _emit_signatures(n: int, threshold: int):
-    def run(batches):
-        schemes = Schemes(threshold)
-        for rows, data, offsets in common.steps(batches):
-            keys, docs, spares = [], [], []
-            for doc, tokens in zip(rows.column(0).to_pylist(), sets_of(data, offsets, n)):
-                if len(tokens):
-                    mixed = common.mix(tokens)
-                    for s in schemes.of(len(tokens)):
-                        own, spare = s.signatures(tokens, mixed)
-                        keys.append(own)
-                        docs.append(np.full(len(own), doc, np.int64))
-                        spares.append(np.full(len(own), spare, np.int32))
-            if keys:
-                columns = [np.concatenate(keys).view(np.int64), np.concatenate(docs), np.concatenate(spares)]
-                for at in range(0, len(columns[0]), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 200_000]) for c in columns], names=["key", "doc", "spare"])
+def _pieces(keys: list[np.ndarray], owners: list[int], size: int = 200_000):
+    """(key, class) rows in batches."""
+    if keys:
+        flat, own = np.concatenate(keys).view(np.int64), np.repeat(np.array(owners, np.int64), [len(k) for k in keys])
+        for at in range(0, len(flat), size):
+            yield pa.RecordBatch.from_arrays([pa.array(flat[at : at + size]), pa.array(own[at : at + size])], names=["key", "class"])
 
-    return run
 
+def _emit_signatures(n: int, threshold: int):
+    """(key, class) in the layouts of all classes."""
 
-def _emit_tokens(n: int):
     def run(batches):
+        schemes = Schemes(threshold)
         for rows, data, offsets in common.steps(batches):
-            found = sets_of(data, offsets, n)
-            where = np.concatenate([[0], np.cumsum([len(t) for t in found])])
-            flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(flat.view(np.int64)))], names=["doc", "tokens"])
+            found = [t for t in sets_of(data, offsets, n) if len(t)]
+            keys, owners = [], []
+            for tokens in found:
+                mixed, own = common.mix(tokens), class_of(tokens)
+                for s in schemes.of(len(tokens)):
+                    keys.append(s.all.signatures(tokens, mixed, s.own(len(tokens))))
+                    owners.append(own)
+            yield from _pieces(keys, owners)
 
     return run
 
 
-def _emit_bins(n: int):
-    """How many elements of a set fall into each of BINS hash classes; a pair shares no more than the sum of the lesser counts."""
-
+def _emit_elements(n: int):
     def run(batches):
         for rows, data, offsets in common.steps(batches):
-            found = sets_of(data, offsets, n)
-            bins = [np.minimum(np.bincount((t & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 65_535).astype(np.uint16).tobytes() for t in found]
-            sizes = [len(t) if len(t) <= 65_535 else 1 << 40 for t in found]  # counts of larger sets may be cut, so these are never ruled out
-            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(bins, pa.binary())], names=["doc", "n", "bins"])
+            found = [t for t in sets_of(data, offsets, n) if len(t)]
+            for batch in _pieces(found, [class_of(t) for t in found]):
+                yield batch
 
     return run
 
 
-def _possible(threshold: int):
-    """Pairs that the bins don't rule out."""
+def _emit_graded(threshold: int):
+    """(key, class) in the layouts of grades, from (class, n, tokens)."""
 
     def run(batches):
+        schemes = Schemes(threshold)
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, BINS).astype(np.int64) for i in (3, 4))
-            n, m = (batch.column(i).to_numpy() for i in (1, 2))
-            most = np.minimum(x, y).sum(axis=1)
-            sure = (n >= 1 << 40) | (m >= 1 << 40)
-            total = np.where(sure, 0, n + m)
-            good = sure | (100 * most >= threshold * (total - most))
-            pairs = batch.column(0)
-            yield pa.RecordBatch.from_arrays([pairs.field(0), pairs.field(1), pa.array(good)], names=["a", "b", "good"])
+            flat, sizes = batch.column(2).flatten().to_numpy().view(np.uint64), pa.compute.list_value_length(batch.column(2)).to_pylist()
+            keys, owners, at = [], [], 0
+            for own, n, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sizes):
+                tokens = flat[at : at + size]
+                at += size
+                mixed = common.mix(tokens)
+                for s in schemes.of(n):
+                    for found in s.signatures(tokens, mixed, n):
+                        keys.append(found)
+                        owners.append(own)
+            yield from _pieces(keys, owners)
 
     return run
 
 
+def _emit_parities(batches):
+    """class, n, alone and the parities of its shared elements' hash classes, from (class, n, tokens)."""
+    for batch in batches:
+        flat, sizes = batch.column(2).flatten().to_numpy().view(np.uint64), pa.compute.list_value_length(batch.column(2)).to_numpy()
+        owner = np.repeat(np.arange(batch.num_rows), sizes)
+        bit = (common.mix(flat) & np.uint64(PARITY * 64 - 1)).astype(np.int64)
+        odd = np.bincount(owner * PARITY * 64 + bit, minlength=batch.num_rows * PARITY * 64).astype(np.uint8) & 1
+        words = np.packbits(odd.reshape(-1, 64), axis=1).view(np.int64).reshape(-1, PARITY)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(batch.column(1).to_numpy() - sizes), *[pa.array(words[:, i].copy()) for i in range(PARITY)]],
+            names=["class", "n", "alone", *[f"p{i}" for i in range(PARITY)]],
+        )
+
+
 def _verifier(threshold: int):
+    """Linked pairs, from (a, b, sizes of both, shared elements of both)."""
+
     def run(batches):
         for batch in batches:
             good = np.zeros(batch.num_rows, bool)
-            x, y = batch.column(2), batch.column(3)
+            n, m = (batch.column(i).to_pylist() for i in (2, 3))
+            x, y = batch.column(4), batch.column(5)
             xs, ys = x.flatten().to_numpy(), y.flatten().to_numpy()
             xo = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(x).to_numpy())])
             yo = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(y).to_numpy())])
             for i in range(batch.num_rows):
-                a, b = xs[xo[i] : xo[i + 1]], ys[yo[i] : yo[i + 1]]
-                both = np.concatenate([a, b])
+                both = np.concatenate([xs[xo[i] : xo[i + 1]], ys[yo[i] : yo[i + 1]]])
                 both.sort()
                 shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                good[i] = 100 * shared >= threshold * (len(a) + len(b) - shared)
+                good[i] = 100 * shared >= threshold * (n[i] + m[i] - shared)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good)], names=["a", "b", "good"])
 
     return run
@@ -224,87 +277,95 @@ def within(ids: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, n: int = N) -> DataFrame:
-    """Per document: doc_id, n_shingles, rep (the smallest doc_id of equal sets; itself for empty sets)."""
-    found = common.stored(docs.select("doc_id", "text").mapInArrow(_emit_sets(n), "doc_id long, n_shingles long, low long, high long"), "sets")
-    reps = found.where("n_shingles > 0").groupBy("n_shingles", "low", "high").agg(F.min("doc_id").alias("rep"))
-    joined = found.join(reps, ["n_shingles", "low", "high"], "left")
-    return common.stored(joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "classes")
+    """Per row: doc_id, n_shingles, class (of equal sets) and rep (the class's smallest doc_id; itself for empty sets)."""
+    found = common.stored(docs.select("doc_id", "text").mapInArrow(_emit_sets(n), "doc_id long, n_shingles long, class long"), "sets")
+    reps = found.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"))
+    joined = found.join(reps, "class", "left")
+    return common.stored(joined.select("doc_id", "n_shingles", "class", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "classes")
 
 
-def candidates(docs: DataFrame, of: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataFrame:
-    """(key, doc, hot) of all signatures that two or more classes share, hot ones left out where that is safe."""
+def representatives(docs: DataFrame, of: DataFrame) -> DataFrame:
+    """(doc_id, text): the rows that stand for a class, repeated ones once."""
     texts = docs.select("doc_id", "text").where("doc_id is not null")
-    copies = of.where("doc_id <> rep").select("doc_id").distinct()
-    reps = texts.join(within(copies), "doc_id", "left_anti")
-    signatures = reps.mapInArrow(_emit_signatures(n, threshold), "key long, doc long, spare int")
-    shared = common.stored(signatures.withColumn("classes", F.count("*").over(Window.partitionBy("key"))).where("classes > 1"), "signatures")
-    hot = shared.where(F.col("classes") > HOT).withColumn("scheme", F.shiftrightunsigned(F.col("key").bitwiseAND(1023), 1))
-    keep = hot.groupBy("doc", "scheme").agg(F.sum(F.col("key").bitwiseAND(1) + 1).alias("weight"), F.min("spare").alias("spare")).where("weight > spare").select("doc", "scheme")
-    cold = shared.where(F.col("classes") <= HOT).select("key", "doc", F.lit(False).alias("hot"))
-    return cold.union(hot.join(keep, ["doc", "scheme"], "left_semi").select("key", "doc", F.lit(True)))
+    held = of.where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("rep")) & (F.col("n_shingles") > 0)).alias("stands"), F.count("*").alias("rows"))
+    held = common.stored(held, "held")
+    reps = texts.join(within(held.where("not stands").select("doc_id")), "doc_id", "left_anti")
+    again = held.where("stands and rows > 1").select("doc_id")
+    if again.isEmpty():
+        return reps
+    again = within(again)
+    return reps.join(again, "doc_id", "left_anti").union(reps.join(again, "doc_id", "left_semi").distinct())
+
+
+def candidates(reps: DataFrame, of: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataFrame:
+    """(class, n, tokens): the shared elements of the classes that may have a link."""
+    signatures = reps.mapInArrow(_emit_signatures(n, threshold), "key long, class long")
+    # a key holds a class once, and a class spreads over as many keys as it may differ by: no key holds more than a small share of the rows
+    shared = signatures.withColumn("classes", F.count("*").over(Window.partitionBy("key"))).where("classes > 1").select("class").distinct()
+    shared = common.stored(shared, "sharing")
+    ids = of.where("n_shingles > 0").join(within(shared), "class", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+    ids = common.stored(ids, "sharing")
+    elements = reps.join(within(ids), "doc_id", "left_semi").mapInArrow(_emit_elements(n), "key long, class long")
+    held = elements.withColumn("classes", F.count("*").over(Window.partitionBy("key"))).where("classes > 1").select("key", "class")
+    tokens = held.groupBy("class").agg(F.collect_set("key").alias("tokens"))
+    sizes = of.where("n_shingles > 0").groupBy("class").agg(F.min("n_shingles").alias("n"))
+    return common.stored(tokens.join(sizes, "class").where(F.size("tokens") * 100 >= F.col("n") * threshold).select("class", "n", "tokens"), "tokens")
+
+
+def _may_link(threshold: int) -> Column:
+    """Whether sizes, shared elements and parities of two sets (columns ending in _a and _b) allow a link."""
+    most = F.floor((F.col("n_a") + F.col("n_b")) * (100 - threshold) / (100 + threshold))
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(PARITY)])
+    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * threshold
+    return near & (F.col("alone_a") + F.col("alone_b") + apart <= most)
+
+
+def _sided(attrs: DataFrame, side: str) -> DataFrame:
+    return attrs.select(*[F.col(c).alias(side if c == "class" else f"{c}_{side}") for c in attrs.columns])
 
 
 def links(docs: DataFrame, of: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataFrame:
-    """(node, root) over the class representatives that have a link."""
-    found = common.stored(candidates(docs, of, n, threshold), "candidates")
-    leaders = found.groupBy("key").agg(F.min("doc").alias("leader"), F.count("*").alias("classes")).where("classes > 1").select("key", "leader")
-    star = common.stored(found.join(leaders, "key").where("doc <> leader").groupBy(F.col("doc").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("votes")), "star")
-    # members of large groups also meet some picked ones, a few others for each signature, before the rest is compared in full
-    large = found.where("hot")
-    picks = large.groupBy("key").agg(*[F.min_by("doc", F.xxhash64("doc", "key", F.lit(i))).alias(f"p{i}") for i in range(PICKS)])
-    met = large.join(picks, "key").select("doc", F.explode(F.array(*[f"p{i}" for i in range(PICKS)])).alias("pick")).where("doc <> pick").distinct()
-    chosen = met.groupBy("doc").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("doc", "pick").alias("h"), "pick"))), 1, 2 * PICKS).alias("ps")).select("doc", F.explode("ps.pick").alias("pick"))
-    picked = chosen.select(F.greatest("doc", "pick").alias("a"), F.least("doc", "pick").alias("b"), F.lit(0).cast("long").alias("votes"))
-    star = common.stored(star.union(picked).groupBy("a", "b").agg(F.sum("votes").alias("votes")), "star")
-    texts = docs.select("doc_id", "text")
-
-    def of_pairs(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        return texts.join(within(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-
-    def possible(pairs: DataFrame) -> DataFrame:
-        bins = common.stored(of_pairs(pairs).mapInArrow(_emit_bins(n), "doc long, n long, bins binary"), "bins")
-        joined = pairs.select("a", "b").join(bins.toDF("a", "n", "x"), "a").join(bins.toDF("b", "m", "y"), "b")
-        left = joined.select(F.struct("a", "b").alias("pair"), "n", "m", "x", "y").mapInArrow(_possible(threshold), "a long, b long, good boolean").where("good").select("a", "b")
-        return common.stored(left, "possible")
-
-    def verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-        joined = pairs.select("a", "b").join(tokens.toDF("a", "x"), "a").join(tokens.toDF("b", "y"), "b")
-        return common.stored(joined.select("a", "b", "x", "y").mapInArrow(_verifier(threshold), "a long, b long, good boolean").where("good").select("a", "b"), "verified")
-
-    def tokens_of(pairs: DataFrame) -> DataFrame:
-        return common.stored(of_pairs(pairs).mapInArrow(_emit_tokens(n), "doc long, tokens array<long>"), "tokens")
-
-    def placed_in(roots: DataFrame, pairs: DataFrame) -> DataFrame:
-        """Pairs with the components of both."""
-        out = pairs
-        for side in ("a", "b"):
-            out = out.join(roots.toDF(side, f"root_{side}"), side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
-        return out
+    """(node, root) over the classes that have a link."""
+    tokens = candidates(representatives(docs, of), of, n, threshold)
+    parities = ", ".join(f"p{i} long" for i in range(PARITY))
+    attrs = common.stored(tokens.mapInArrow(_emit_parities, f"class long, n long, alone long, {parities}"), "parities")
+    found = common.stored(tokens.mapInArrow(_emit_graded(threshold), "key long, class long"), "signatures")
+    leaders = found.groupBy("key").agg(F.min("class").alias("b"), F.max("class").alias("high")).where("b <> high").select("key", "b")
+    leaders = common.stored(leaders, "leaders")
+    star = common.stored(found.join(leaders, "key").where("class <> b").groupBy(F.col("class").alias("a"), "b").agg(F.count("*").alias("votes")), "star")
+    likely = common.stored(star.join(_sided(attrs, "a"), "a").join(_sided(attrs, "b"), "b").where(_may_link(threshold)).select("a", "b", "votes"), "likely")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        joined = pairs.select("a", "b").join(tokens.toDF("a", "n", "x"), "a").join(tokens.toDF("b", "m", "y"), "b")
+        return common.stored(joined.select("a", "b", "n", "m", "x", "y").mapInArrow(_verifier(threshold), "a long, b long, good boolean").where("good").select("a", "b"), "verified")
 
     def bridged(roots: DataFrame, more: DataFrame) -> DataFrame:
-        joined = components(placed_in(roots, more).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+        placed = more
+        for side in ("a", "b"):
+            placed = placed.join(roots.toDF(side, f"root_{side}"), side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+        joined = components(placed.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
         old = roots.join(joined.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
         return common.stored(old.union(joined.join(roots.select("node"), "node", "left_anti")), "roots")
 
-    likely = possible(star)
-    tokens = tokens_of(likely)
-    ranked = likely.join(star, ["a", "b"])
-    first = common.stored(ranked.groupBy("a").agg(F.max_by("b", F.struct("votes", -F.col("b"))).alias("b")), "first")
-    roots = common.stored(components(verified(first, tokens)), "roots")
-    rest = placed_in(roots, likely.join(first, ["a", "b"], "left_anti")).where("root_a <> root_b").select("a", "b")
-    more = verified(rest, tokens)
+    first = common.stored(likely.groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b")), "first")
+    roots = common.stored(components(verified(first)), "roots")
+    rest = likely.join(first, ["a", "b"], "left_anti").select("a", "b")
+    for side in ("a", "b"):
+        rest = rest.join(roots.toDF(side, f"root_{side}"), side, "left")
+    rest = common.stored(rest.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b"), "rest")
+    more = verified(rest)
     if not more.isEmpty():
         roots = bridged(roots, more)
-    placed = found.join(roots.toDF("doc", "root"), "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    placed = common.stored(placed.join(mixed, "key", "left_semi"), "mixed")
-    pairs = placed.toDF("key", "a", "ra").join(placed.toDF("key", "b", "rb"), "key").where("ra < rb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    placed = found.join(leaders.select("key"), "key", "left_semi").join(roots.toDF("class", "root"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root"))
+    placed = common.stored(placed, "placed")
+    mixed = common.stored(placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"), "mixed")
+    placed = common.stored(placed.join(mixed, "key", "left_semi").join(attrs, "class"), "placed")
+    left, right = (_sided(placed.withColumnRenamed("key", "at"), side).withColumnRenamed(f"at_{side}", "key") for side in ("a", "b"))
+    pairs = left.join(right, "key").where((F.col("root_a") < F.col("root_b")) & _may_link(threshold)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = common.stored(pairs.join(star.select("a", "b"), ["a", "b"], "left_anti"), "across")
-    likely = possible(pairs)
-    if likely.isEmpty():
+    if pairs.isEmpty():
         return roots
-    more = verified(likely, tokens_of(likely))
+    more = verified(pairs)
     return roots if more.isEmpty() else bridged(roots, more)
 
 
@@ -312,8 +373,12 @@ def groups(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataFrame
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     of = classes(docs, n)
     roots = links(docs, of, n, threshold)
-    joined = of.join(roots.toDF("rep", "root"), "rep", "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep")).alias("component_id"))
+    reps = of.where("n_shingles > 0").groupBy("class").agg(F.min("rep").alias("least"))
+    placed = roots.toDF("class", "root").join(reps, "class")
+    least = common.stored(placed.groupBy("root").agg(F.min("least").alias("component")), "components")
+    linked = common.stored(placed.join(least, "root").select("class", "component"), "linked")
+    joined = of.join(linked, "class", "left")
+    return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))).alias("component_id"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,9 +80,7 @@ def corpus(rng):
     return texts
 
 
-@pytest.mark.parametrize("hot", [12, 2])
-def test_jaccard_groups(spark, rng, monkeypatch, hot):
-    monkeypatch.setattr(jaccard_join, "HOT", hot)
+def test_jaccard_groups(spark, rng):
     docs = frame(spark, corpus(rng))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.groups(docs).collect()}
     assert got == brute_groups(texts_of(docs))
@@ -96,12 +94,18 @@ def test_jaccard_shuffled_join_path(spark, rng, monkeypatch):
     assert got == brute_groups(texts_of(docs))
 
 
-def test_schemes_leave_no_pair_out(rng):
-    """Every pair of sets at the threshold shares a signature, for all sizes up to 120."""
+def test_layouts_leave_no_pair_out():
+    """Every pair of sets at the threshold shares a signature in both layouts, for all sizes up to 120."""
     schemes = jaccard_join.Schemes(80)
     r = np.random.default_rng(3)
+
+    def keys(t, shared=None):
+        if shared is None:
+            return {k for s in schemes.of(len(t)) for k in s.all.signatures(t, common.mix(t), s.own(len(t))).tolist()}
+        return {k for s in schemes.of(len(t)) for part in s.signatures(shared, common.mix(shared), len(t)) for k in part.tolist()}
+
     for size in range(1, 120):
-        for _ in range(3):
+        for _ in range(6):
             base = r.integers(0, 1 << 63, size * 2, dtype=np.uint64)
             x = base[:size]
             gone = int(r.integers(0, size // 5 + 1))
@@ -109,8 +113,18 @@ def test_schemes_leave_no_pair_out(rng):
             y = np.concatenate([x[gone:], base[size : size + int(r.integers(0, most + 1))]])
             if not len(y):
                 continue
-            keys = [set(k for s in schemes.of(len(t)) for k in s.signatures(np.unique(t), common.mix(np.unique(t)))[0].tolist()) for t in (x, y)]
-            assert keys[0] & keys[1], (size, gone, len(y))
+            x, y = np.unique(x), np.unique(y)
+            assert keys(x) & keys(y), (size, gone, len(y))
+            alone = [np.setdiff1d(t, o)[: int(r.integers(0, size + 1))] for t, o in ((x, y), (y, x))]  # elements that no other set holds
+            assert keys(x, np.setdiff1d(x, alone[0])) & keys(y, np.setdiff1d(y, alone[1])), (size, gone, len(y))
+
+
+def test_jaccard_rows_of_one_id(spark):
+    """Rows of one doc_id are judged by their own texts; repeated rows are one class."""
+    a, b = "one two three four five six seven", "quite other words than those of the first"
+    docs = spark.createDataFrame([(1, a), (1, b), (1, b), (2, a), (3, b), (None, a)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.groups(docs).collect()), key=str)
+    assert got == sorted([(1, 3, 1), (1, 4, 1), (1, 4, 1), (2, 3, 1), (3, 4, 1), (None, 3, None)], key=str)
 
 
 def test_components(spark, rng):
