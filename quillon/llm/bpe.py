@@ -1,9 +1,18 @@
 """Byte-level BPE by backtracking over longest matches, exact to the merge order, in linear time.
 
 Bytes are mapped to Latin-1 so that pyahocorasick can hold every token. A piece (one match of the pattern) is first cut
-by the automaton's longest matches; if all adjacent pairs are compatible (the pair's own merges keep that border) this
-is the answer. Otherwise the encoder backtracks: it swaps the last token for its next shorter prefix token, or drops it,
-and never revisits an end that failed. Compatibility of a pair is memoised; so are pieces, up to a bound.
+by the automaton's longest matches; if all adjacent pairs are compatible (the merges of the pair's bytes keep that
+border) this is the answer. Otherwise the encoder backtracks: the last token gives way to its next shorter prefix token,
+or goes, and an end that failed is never tried again. The idea of backtracking over compatible pairs is that of the `bpe`
+crate of GitHub's rust-gems (MIT licence); tables, the test of a border and the memory are this module's own.
+
+Whether a border holds is read off two time lines. Merges go by rank, so while a token is built its right edge is one
+symbol after another, each from its own rank to the next one's, and likewise the left edge. The border falls if at some
+time the two symbols that meet there merge, before either side's next merge (of equal ranks the left one goes first).
+
+No match of the pattern runs from a visible character into white space, so a text is cut in front of blanks first, and
+what a stretch between blanks encodes to is remembered, as are pieces and pairs: in two generations, of which the older
+goes when the younger is full. Results don't depend on what is remembered.
 
 Defined results: null and empty texts have no tokens; decoding gives the bytes back; other columns aren't read.
 """
@@ -12,8 +21,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from itertools import chain
 
 import ahocorasick
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -22,154 +33,238 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.llm import common
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pieces, and token pairs, that a worker remembers (some 100 MB); the memory starts anew when full, results don't depend on it.
-REMEMBERED = 250_000
+#: Stretches, pieces and pairs after which a generation of the memory ends (some 60 MB each).
+REMEMBERED = 200_000
+#: Characters of the longest stretch or piece that is remembered.
+SHORT = 64
 #: Characters of text that are encoded together.
 STEP_CHARS = 1 << 20
+_NEVER = 1 << 60
+
+
+class Memory:
+    """A map of two generations: what was asked for since the last turn, and what before."""
+
+    def __init__(self, bound: int):
+        self.bound, self.young, self.old = bound, {}, {}
+
+    def turn(self) -> None:
+        """Forget the older generation if the younger has grown to its bound."""
+        if len(self.young) >= self.bound:
+            self.young, self.old = {}, self.young
+
+    def missing(self, keys: set) -> list:
+        """The keys that aren't known; all others are young from now on."""
+        young, old, out = self.young, self.old, []
+        for key in keys.difference(young):
+            found = old.get(key)
+            if found is None:
+                out.append(key)
+            else:
+                young[key] = found
+        return out
 
 
 class Encoder:
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.bytes = {rank: token for token, rank in self.ranks.items()}
-        self.split = regex.compile(pattern)
+        size = max(self.ranks.values()) + 1
+        self.bytes = [b""] * size
+        for body, rank in self.ranks.items():
+            self.bytes[rank] = body
+        self.names = [b"%d" % i for i in range(size)]
+        self.split, self.solid = regex.compile(pattern).findall, regex.compile(r"\S").match
         self.machine = ahocorasick.Automaton()
         for token, rank in self.ranks.items():
             self.machine.add_word(token.decode("latin-1"), rank)
         self.machine.make_automaton()
         self.longest = max(map(len, self.ranks))
-        self.shorter: dict[int, int] = {}
-        self.halves: dict[int, tuple[int, int]] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[int, str, bytes]] = {}
-
-    def next_shorter(self, token: int) -> int:
-        """The longest token that is a proper prefix of this one; -1 if there is none."""
-        found = self.shorter.get(token)
-        if found is None:
-            body = self.bytes[token]
-            found = next((self.ranks[body[:n]] for n in range(len(body) - 1, 0, -1) if body[:n] in self.ranks), -1)
-            self.shorter[token] = found
-        return found
-
-    def merged_from(self, token: int) -> tuple[int, int]:
-        """The two tokens whose merge makes this one; (token, token) if nothing does."""
-        found = self.halves.get(token)
-        if found is None:
-            parts = [bytes([b]) for b in self.bytes[token]]
-            while len(parts) > 2:
-                ranked = [self.ranks.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:])]
-                best = min(ranked)
-                if best >= token:
+        self.sizes = [len(b) for b in self.bytes]
+        #: Of each token the longest that is a proper prefix of it; -1 if there is none.
+        self.shorter = [next((self.ranks[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in self.ranks), -1) for b in self.bytes]
+        self.first: dict[str, int] = {}
+        self.merges: dict[int, int] = {}  # left << 32 | right of all two tokens that are one: its rank
+        for body, rank in self.ranks.items():
+            for n in range(1, len(body)):
+                left, right = self.ranks.get(body[:n]), self.ranks.get(body[n:])
+                if left is not None and right is not None:
+                    self.merges[left << 32 | right] = rank
+        self.halves: dict[int, tuple[int, int] | None] = {}
+        self.edges: tuple[dict, dict] = ({}, {})
+        self.fits, self.pieces, self.stretches = Memory(4 * remembered), Memory(remembered), Memory(remembered)
+
+    def halves_of(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes this one; None for a byte, and for a token that no merges make."""
+        if token not in self.halves:
+            body, found = self.bytes[token], None
+            parts = [self.ranks[body[i : i + 1]] for i in range(len(body))]
+            while len(parts) > 1:
+                ranked = [self.merges.get(a << 32 | b, _NEVER) for a, b in zip(parts, parts[1:])]
+                least = min(ranked)
+                if least == _NEVER:
                     break
-                i = ranked.index(best)
-                parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            found = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 and all(p in self.ranks for p in parts) else (token, token)
+                at = ranked.index(least)
+                if len(parts) == 2:
+                    found = (parts[0], parts[1])
+                parts[at : at + 2] = [least]
             self.halves[token] = found
-        return found
+        return self.halves[token]
 
-    def compatible(self, left: int, right: int) -> bool:
-        """Whether left, right is what the merges make of both tokens' bytes together."""
-        found = self.fits.get((left, right))
+    def edge(self, token: int, right: bool) -> list[tuple[int, int]]:
+        """What stands at one edge of a token while it is built: (symbol, rank of the merge that ends its time), in order."""
+        known = self.edges[right]
+        found = known.get(token)
         if found is None:
-            found = self.fits[left, right] = self._compatible(left, right)
+            halves = self.halves_of(token)
+            if halves is None:
+                found = [(token, _NEVER)]
+            else:
+                inner = self.edge(halves[right], right)
+                found = [*inner[:-1], (inner[-1][0], token), (token, _NEVER)]
+            known[token] = found
         return found
 
-    def _compatible(self, left: int, right: int) -> bool:
-        a, b, limit = left, right, 1 << 60
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether left, right is what the merges make of both tokens' bytes together."""
+        ours, theirs, merges = self.edge(left, True), self.edge(right, False), self.merges
+        i = j = 0
         while True:
-            joined = self.ranks.get(self.bytes[a] + self.bytes[b])
-            if joined is not None and joined < limit:
+            (x, until), (y, end) = ours[i], theirs[j]
+            rank = merges.get(x << 32 | y)
+            if rank is not None and rank < until and rank <= end:
                 return False
-            if a > b:
-                limit = a
-                a = self.merged_from(a)[1]
-                if a == limit:
-                    limit, b = b + 1, self.merged_from(b)[0]
-                    if b + 1 == limit:
-                        return True
+            if until <= end:
+                if until == _NEVER:
+                    return True
+                i += 1
             else:
-                limit = b + 1
-                b = self.merged_from(b)[0]
-                if b + 1 == limit:
-                    limit, a = a, self.merged_from(a)[1]
-                    if a == limit:
-                        return True
-
-    def longest_at(self, body: bytes, latin: str, at: int) -> int:
-        ranks = self.ranks
-        for n in range(self.machine.longest_prefix(latin[at : at + self.longest]), 0, -1):
-            found = ranks.get(body[at : at + n])
-            if found is not None:
-                return found
-        raise ValueError(f"no token for byte {body[at]}")
-
-    def backtrack(self, body: bytes) -> list[int]:
-        alive = bytearray(b"\1") * (len(body) + 1)
-        latin, fits = body.decode("latin-1"), self.fits
-        out: list[int] = []
-        at, token = 0, self.longest_at(body, latin, 0)
-        while True:
-            end = at + len(self.bytes[token])
-            if alive[end]:
-                good = not out or fits.get((out[-1], token))
-                if good is None:
-                    good = self.compatible(out[-1], token)
-                if good:
-                    out.append(token)
-                    at = end
-                    if at == len(body):
-                        return out
-                    token = self.longest_at(body, latin, at)
-                    continue
-            shorter = self.next_shorter(token)
-            if shorter >= 0:
-                token = shorter
-                continue
-            alive[at] = 0
-            token = out.pop()
-            at -= len(self.bytes[token])
-            while (shorter := self.next_shorter(token)) < 0:
-                alive[at] = 0
-                token = out.pop()
-                at -= len(self.bytes[token])
-            token = shorter
-
-    def learn(self, pieces: list[str]) -> None:
-        """Encode pieces that aren't known yet, all longest matches in one run of the automaton."""
-        bodies = [p.encode() for p in pieces]
-        cuts: list[list[int]] = [[] for _ in bodies]
-        joined = "Ā".join(b.decode("latin-1") for b in bodies)
-        owner, end_of, fits = 0, len(bodies[0]), self.fits
-        for last, token in self.machine.iter_long(joined):
-            while last >= end_of:
-                owner += 1
-                end_of += 1 + len(bodies[owner])
-            cuts[owner].append(token)
-        for piece, body, ids in zip(pieces, bodies, cuts):
-            for pair in zip(ids, ids[1:]):
-                good = fits.get(pair)
-                if good is None:
-                    good = self.compatible(*pair)
-                if not good:
-                    ids = self.backtrack(body)
-                    break
-            self.known[piece] = (len(ids), ",".join(map(str, ids)), b"".join([self.bytes[i] for i in ids]))
-
-    def encode(self, texts: list[str]) -> list[list[tuple[int, str, bytes]]]:
-        """Per text, per piece: number of tokens, their ids as text, their bytes."""
-        split = [self.split.findall(t) for t in texts]
-        known = self.known
-        fresh = {p for pieces in split for p in pieces if p not in known}
-        if len(known) + len(fresh) > REMEMBERED:
-            known.clear()
-            if len(self.fits) > REMEMBERED:
-                self.fits.clear()
-            fresh = {p for pieces in split for p in pieces}
+                j += 1
+
+    def holds(self, key: int) -> bool:
+        """compatible, of left << 32 | right, remembered."""
+        found = self.fits.old.get(key)
+        if found is None:
+            found = self.compatible(key >> 32, key & 0xFFFFFFFF)
+        self.fits.young[key] = found
+        return found
+
+    def first_of(self, prefix: str) -> int:
+        """The longest token that prefix starts with."""
+        body = prefix.encode("latin-1")
+        for n in range(len(body), 0, -1):
+            if body[:n] in self.ranks:
+                self.first[prefix] = self.ranks[body[:n]]
+                return self.first[prefix]
+        raise ValueError(f"no token for {body!r}")
+
+    def backtrack(self, latin: str) -> list[int]:
+        """Tokens whose neighbours are all compatible, longest first; failed: ends that didn't lead on."""
+        sizes, shorter, fits, first, prefix, longest = self.sizes, self.shorter, self.fits.young, self.first, self.machine.longest_prefix, self.longest
+        size, failed, out, at, token = len(latin), set(), [], 0, -1
+        while at < size:
+            if token < 0:
+                ahead = latin[at : at + longest]
+                ahead = ahead[: prefix(ahead)]
+                token = first.get(ahead)
+                if token is None:
+                    token = self.first_of(ahead)
+            while True:
+                end = at + sizes[token]
+                if end not in failed:
+                    if not out:
+                        break
+                    key = out[-1] << 32 | token
+                    good = fits.get(key)
+                    if good is None:
+                        good = self.holds(key)
+                    if good:
+                        break
+                token = shorter[token]
+                while token < 0:
+                    failed.add(at)
+                    token = out.pop()
+                    at -= sizes[token]
+                    token = shorter[token]
+            out.append(token)
+            at, token = end, -1
+        return out
+
+    def learn(self, pieces: list[str]) -> list[tuple[int, bytes, bytes]]:
+        """Number of tokens, ids as text and bytes of each piece; all longest matches in one run of the automaton."""
+        latins = [p.encode().decode("latin-1") for p in pieces]
+        last, tokens = np.array(list(self.machine.iter_long("Ā".join(latins))), np.int64).T
+        ends = np.cumsum(np.array([len(b) + 1 for b in latins], np.int64)) - 1
+        owner = np.searchsorted(ends, last, "right")
+        inside = np.flatnonzero(owner[1:] == owner[:-1])
+        pairs, which = np.unique(tokens[inside] << 32 | tokens[inside + 1], return_inverse=True)
+        fits, holds = self.fits.young, self.holds
+        good = np.array([fits[p] if p in fits else holds(p) for p in pairs.tolist()], bool)
+        again = np.zeros(len(pieces), bool)
+        again[owner[inside[~good[which]]]] = True
+        cuts = np.searchsorted(owner, np.arange(len(pieces) + 1)).tolist()
+        ids, names, body, out = tokens.tolist(), self.names, self.bytes, []
+        for k, bad in enumerate(again.tolist()):
+            found = self.backtrack(latins[k]) if bad else ids[cuts[k] : cuts[k + 1]]
+            out.append((len(found), b",".join([names[i] for i in found]), b"".join([body[i] for i in found])))
+        return out
+
+    def _encoded(self, stretches: list[str]) -> list[tuple[int, bytes, bytes]]:
+        """What each stretch of text encodes to."""
+        cut = list(map(self.split, stretches))
+        fresh = self.pieces.missing(set(chain.from_iterable(cut)))
+        known = self.pieces.young
         if fresh:
-            self.learn(list(fresh))
-        return [[known[p] for p in pieces] for pieces in split]
+            known.update(zip(fresh, self.learn(fresh)))
+        out = []
+        for pieces in cut:
+            if len(pieces) == 1:
+                out.append(known[pieces[0]])
+            else:
+                found = [known[p] for p in pieces]
+                out.append((sum([f[0] for f in found]), b",".join([f[1] for f in found]), b"".join([f[2] for f in found])))
+        for p in fresh:
+            if len(p) > SHORT:
+                del known[p]
+        return out
+
+    def _stretched(self, text: str) -> list[str]:
+        """text cut where a blank follows a visible character, without those blanks."""
+        parts = text.split(" ")
+        out = [parts[0]]
+        for part in parts[1:]:
+            if out[-1] and self.solid(out[-1][-1]):
+                out.append(part)
+            else:
+                out[-1] += " " + part
+        return out
+
+    def encode(self, texts: list[str]) -> list[list[tuple[int, bytes, bytes]]]:
+        """Per text, per stretch: number of tokens, their ids as text, their bytes."""
+        for memory in (self.fits, self.pieces, self.stretches):
+            memory.turn()
+        cut = [t.split(" ") for t in texts]
+        rest = set(chain.from_iterable([parts[1:] for parts in cut]))
+        open_ = {c for c in {p[-1:] for p in rest} if not c or not self.solid(c)}
+        if open_:  # white space after white space belongs to what follows
+            odd = {p for p in rest if p[-1:] in open_}
+            for k, parts in enumerate(cut):
+                if not odd.isdisjoint(parts):
+                    cut[k] = self._stretched(texts[k])
+            rest = set(chain.from_iterable([parts[1:] for parts in cut]))
+        fresh = self.stretches.missing(rest)
+        heads = list({parts[0] for parts in cut if parts[0]})
+        found = self._encoded([*heads, *[" " + p for p in fresh]])
+        lead, known = dict(zip(heads, found)), self.stretches.young
+        known.update(zip(fresh, found[len(heads) :]))
+        out = []
+        for parts in cut:
+            held = list(map(known.__getitem__, parts[1:]))
+            out.append([lead[parts[0]], *held] if parts[0] else held)
+        for p in fresh:
+            if len(p) > SHORT:
+                del known[p]
+        return out
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -195,16 +290,17 @@ def _chunks(texts: list[str]):
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """Per document: doc_id, ids (token ids) and decoded (the bytes they stand for).
 
-    path: the rank file; by default the public multi-language one, looked up on each machine."""
+    path: the rank file; by default the public multi-language one, looked up on each machine. No match of the pattern
+    may run from a visible character into white space."""
 
     def run(batches):
         own = encoder(path or public_tokenizers.path(VOCABULARY), pattern)
         for batch in batches:
             ids, decoded = [], []
             for texts in _chunks([t or "" for t in batch.column(1).to_pylist()]):
-                for pieces in own.encode(texts):
-                    ids.append([int(i) for p in pieces for i in p[1].split(",")])
-                    decoded.append(b"".join([p[2] for p in pieces]))
+                for found in own.encode(texts):
+                    ids.append([int(i) for f in found for i in f[1].split(b",")])
+                    decoded.append(b"".join([f[2] for f in found]))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
@@ -218,10 +314,10 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str = public_toke
         for batch in batches:
             counts, ids, decoded = [], [], []
             for texts in _chunks([t or "" for t in batch.column(1).to_pylist()]):
-                for pieces in own.encode(texts):
-                    counts.append(sum([p[0] for p in pieces]))
-                    ids.append(hashlib.sha256(",".join([p[1] for p in pieces]).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(b"".join([p[2] for p in pieces])).hexdigest())
+                for found in own.encode(texts):
+                    counts.append(sum([f[0] for f in found]))
+                    ids.append(hashlib.sha256(b",".join([f[1] for f in found])).hexdigest())
+                    decoded.append(hashlib.sha256(b"".join([f[2] for f in found])).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

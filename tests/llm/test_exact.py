@@ -369,11 +369,17 @@ def test_bpe_is_exact(spark, reference, rng):
 
 
 def test_bpe_forgetting_changes_nothing(reference, monkeypatch, data, spark):
-    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    monkeypatch.setattr(bpe, "SHORT", 6)
     texts = [r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").limit(60).collect()]
-    own = bpe.Encoder(public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN)
+    own = bpe.Encoder(public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN, remembered=50)
     for t in texts:
-        assert [int(i) for p in own.encode([t])[0] for i in p[1].split(",")] == reference.encode_ordinary(t)
+        assert [int(i) for p in own.encode([t])[0] for i in p[1].split(b",")] == reference.encode_ordinary(t)
+
+
+def test_bpe_white_space(reference):
+    own = bpe.Encoder(public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN)
+    for t in ("", " ", "  a", "a  b", "a \n b\n", "\n", "x\t y ", "'s 't it's I'll  ", "a b c\x1c d", "1 2  3", "　 x", "\u00a0 y", "tab\there  and \r\n there "):
+        assert [int(i) for p in own.encode([t])[0] for i in p[1].split(b",")] == reference.encode_ordinary(t), t
 
 
 # --- shards
