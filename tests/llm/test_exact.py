@@ -165,30 +165,31 @@ def test_edit_distance(rng):
         assert line_dedup.aligned(c, d) >= plain(c, d)
 
 
-def brute_lines(docs):
+def line_places(docs):
+    """The places of each normalised line, and its SimHash and blocks."""
     occurrences = defaultdict(list)
     for d, t in docs:
         for i, line in enumerate((t or "").split("\n")):
             body = line_dedup.normalise(line)
             if len(body.split(" ")) >= line_dedup.MIN_WORDS:
                 occurrences[body].append((d, i))
-    bodies = sorted(occurrences)
-    hashes = []
-    for b in bodies:
+    marks = {}
+    for b in occurrences:
         data = np.frombuffer(b.encode(), np.uint8)
         h, first = common.words(data, np.array([0, len(data)]), "space", False)
-        hashes.append(int(line_dedup.simhash(h, first)[0]))
-    return occurrences, bodies, hashes
+        whole = line_dedup.simhash(h, first)
+        marks[b] = int(whole[0]), set(line_dedup.line_blocks(h, first, whole)[1].tolist())
+    return occurrences, marks
 
 
-def test_line_dedup(spark, rng):
-    lines = [" ".join(prose(rng, rng.randint(5, 30))) for _ in range(40)]
-    lines += [x.replace("the", "The,") for x in lines[:10]] + [x + "!" for x in lines[10:20]] + [x + " 7" for x in lines[:6]] + [x + " 8" for x in lines[:6]]
-    short = ["ok", "a b c d", ""]
-    texts = ["\n".join(rng.choice(lines + short) for _ in range(rng.randint(1, 6))) for _ in range(50)]
-    docs = frame(spark, texts)
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs).collect()}
-    occurrences, bodies, hashes = brute_lines(texts_of(docs))
+def meets(x, y):
+    return (x[0] ^ y[0]).bit_count() <= line_dedup.DISTANCE and bool(x[1] & y[1])
+
+
+def brute_lines(docs, candidate=meets):
+    """Each place of a line, and the first place of its group by all links among candidates."""
+    occurrences, marks = line_places(docs)
+    bodies = sorted(occurrences)
     up = list(range(len(bodies)))
 
     def root(x):
@@ -198,34 +199,53 @@ def test_line_dedup(spark, rng):
 
     for i, a in enumerate(bodies):
         for j, b in enumerate(bodies[:i]):
-            if (hashes[i] ^ hashes[j]).bit_count() <= line_dedup.DISTANCE and line_dedup.similar(a, b):
+            if candidate(marks[a], marks[b]) and line_dedup.similar(a, b):
                 up[root(i)] = root(j)
     group = defaultdict(list)
     for i, b in enumerate(bodies):
         group[root(i)] += occurrences[b]
-    gone = {p for places in group.values() for p in places if p != min(places)}
-    want = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in texts_of(docs)}
-    assert got == want and gone
+    return {p: min(places) for places in group.values() for p in places}
 
 
-def line_roots(docs):
-    """Each place of a node, and the group of lines it is in by all links of near SimHashes."""
-    occurrences, bodies, hashes = brute_lines(docs)
-    up = list(range(len(bodies)))
+def edited(rng, words, times):
+    words = list(words)
+    for _ in range(times):
+        k = rng.randrange(len(words))
+        words[k : k + 1] = rng.choice(([], [rng.choice("xyzuv") * 3], [words[k], "more"]))
+    return " ".join(words)
 
-    def root(x):
-        while up[x] != x:
-            x = up[x]
-        return x
 
-    for i, a in enumerate(bodies):
-        for j, b in enumerate(bodies[:i]):
-            if (hashes[i] ^ hashes[j]).bit_count() <= line_dedup.DISTANCE and line_dedup.similar(a, b):
-                up[root(i)] = root(j)
-    group = defaultdict(list)
-    for i, b in enumerate(bodies):
-        group[root(i)] += occurrences[b]
-    return {p: min(places) for places in group.values() for p in places}
+@pytest.mark.parametrize("entries", [2_000_000, -1])
+def test_line_dedup(spark, rng, monkeypatch, entries):
+    """Exactly the links among lines that share a block; nearly all links there are."""
+    monkeypatch.setattr(line_dedup, "BROADCAST_ENTRIES", entries)
+    base = [prose(rng, n) for n in (5, 6, 8, 10, 12, 15, 20, 25, 30, 40, 60, 90) for _ in range(4)]
+    lines = [" ".join(w) for w in base] + [edited(rng, w, rng.randint(1, max(1, len(w) // 12))) for w in base for _ in range(2)]
+    lines += [x.replace("the", "The,") for x in lines[:10]] + [x + "!" for x in lines[10:20]] + [x + " 7" for x in lines[:6]] + [x + " 8" for x in lines[:6]]
+    short = ["ok", "a b c d", ""]
+    texts = ["\n".join(rng.choice(lines + short) for _ in range(rng.randint(1, 6))) for _ in range(70)]
+    docs = frame(spark, texts)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs).collect()}
+    keep = brute_lines(texts_of(docs))
+    want = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if keep.get((d, i), (d, i)) == (d, i)) for d, t in texts_of(docs)}
+    assert got == want
+    complete = brute_lines(texts_of(docs), lambda x, y: True)
+    gone = {p for p, first in complete.items() if p != first}
+    assert len(gone) > 60 and len([p for p in gone if keep[p] != p]) >= 0.95 * len(gone)
+
+
+def test_line_recall(spark, data):
+    """Of the similar lines that share three words in a row, on the driver's documents, at least 95 % share a block."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    _, marks = line_places(docs)
+    held = defaultdict(set)
+    for b in marks:
+        w = b.split(" ")
+        for k in range(len(w) - 2):
+            held[tuple(w[k : k + 3])].add(b)
+    pairs = {(x, y) for group in held.values() if len(group) < 40 for x in group for y in group if x < y}
+    links = [(x, y) for x, y in pairs if line_dedup.similar(x, y)]
+    assert links and sum(meets(marks[x], marks[y]) for x, y in links) >= 0.95 * len(links)
 
 
 def test_lines_that_fail_against_the_first_of_their_simhash(spark, rng):
@@ -234,7 +254,7 @@ def test_lines_that_fail_against_the_first_of_their_simhash(spark, rng):
     texts += [" ".join(["ho"] * n + tail) for n in (8, 13, 30, 31) for tail in tails]
     texts += [" ".join(["ho"] * 30 + tail + prose(rng, 12)) for tail in tails]
     docs = frame(spark, texts)
-    want = line_roots(texts_of(docs))
+    want = brute_lines(texts_of(docs))
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs).collect()}
     assert got == {d: t if want[d, 0] == (d, 0) else "" for d, t in texts_of(docs)}
     assert not got[8] and not got[6] and not got[10] and len(set(want.values())) > 6  # 40 and 41 repeats are one line, 22 and 23, 70 and 71
