@@ -44,9 +44,9 @@ def proton_repair(charge: Column, hydrogen: Column, others: Column) -> Column:
 
 
 def known_energy(value: Column) -> Column:
-    """A formation energy as a number, the marker for unknown ones (10,000,000) as null."""
+    """A formation energy as a number, the marker for unknown ones (10,000,000 of either sign, and beyond) as null."""
     number = value.try_cast("double")
-    return F.when(number < 10_000_000, number)
+    return F.when(F.abs(number) < 10_000_000, number)
 
 
 def log_ratio(numerator: Column, denominator: Column, base: float | None = 2) -> Column:

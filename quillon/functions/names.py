@@ -13,31 +13,38 @@ def standard(s: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "_DASH_", "-"), "_COLON_", ":"), PUNCTUATION, ""))
 
 
-#: Parts of compound names that don't tell compounds apart.
+#: Parts of compound names that don't tell compounds apart, in the order in which they go.
 NAME_PARTS = (
-    r"(?i)^(sodium|potassium|calcium|magnesium|zinc|iron|copper|manganese|cobalt|nickel|lithium|ammonium|disodium|dipotassium) ",
-    r"(?i)[ -]?(mono|di|tri|tetra|penta|hexa|hepta|octa)?hydrate$",
-    r"(?i)[ -]?(anhydrous|hydrochloride|hcl|salt|free acid|free base)$",
-    r"(?i) (mono|di|tri|tetra)?basic$",
+    *[rf"(?iU)^{metal}\s+" for metal in ("Trisodium", "Disodium", "Sodium", "Tripotassium", "Dipotassium", "Potassium", "Calcium", "Magnesium", "Ammonium")],
+    r"(?iU)\s+\w*hydrate\b",
+    r"(?iU)\s+((mono|di|tri)?(sodium|potassium)\s+)?salt\b",
+    r"(?iU)\s+(di)?hydrochloride\b",
+    r"(?iU)\s+HCl\b",
+    r"(?iU)\s+(mono|di|tri)basic\b",
 )
+#: How racemic names are written, and acids and their ions.
+RACEMIC, FORMS = (r"(?i)D,L[-\s]?", r"(?i)DL[-\s]?"), ("L-", "D-", "")
+IC_ACID, OUS_ACID, ATE = r"(?iU)ic\s+acid\b", r"(?iU)ous\s+acid\b", r"(?iU)ate\b"
 
 
 def plain_name(s: Column) -> Column:
-    """A compound name without metals, hydrates, salts and basicity."""
+    """A compound name without metals in front, hydrates, salts, hydrochlorides and basicity."""
     out = F.trim(s)
     for part in NAME_PARTS:
-        out = F.trim(F.regexp_replace(out, part, ""))
-    return out
+        out = F.regexp_replace(out, part, "")
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
 def name_variants(s: Column) -> Column:
-    """The plain name, its acid and ion forms and its stereo forms, shortest first, then by letters."""
+    """The plain name, racemic ones also as either form and bare, acids also as ions and the other way round, and the name itself; shortest first, then by letters."""
     plain = plain_name(s)
-    forms = [
-        F.trim(s), plain, F.regexp_replace(plain, r"(?i)ic acid$", "ate"), F.regexp_replace(plain, r"(?i)ous acid$", "ite"), F.regexp_replace(plain, r"(?i)ate$", "ic acid"),
-        F.regexp_replace(plain, r"(?i)^[dl]-", ""), F.when(~plain.rlike(r"(?i)^[dl]-"), F.concat(F.lit("D-"), plain)), F.when(~plain.rlike(r"(?i)^[dl]-"), F.concat(F.lit("L-"), plain)),
-    ]
-    kept = F.array_distinct(F.filter(F.array(*forms), lambda x: x.isNotNull() & (x != "")))
+    marks = (F.lower(plain).contains("d,l"), F.lower(plain).contains("dl-"))
+    stereo = [F.when(mark, F.regexp_replace(plain, pattern, form)) for mark, pattern in zip(marks, RACEMIC) for form in FORMS]
+    found = F.array_compact(F.array(plain, *stereo))
+    acid = lambda v: F.when(v.rlike(IC_ACID), F.regexp_replace(v, IC_ACID, "ate")).when(v.rlike(ATE), F.regexp_replace(v, ATE, "ic acid"))
+    found = F.concat(found, F.array_compact(F.transform(found, acid)))
+    found = F.concat(found, F.array_compact(F.transform(found, lambda v: F.when(v.rlike(OUS_ACID), F.regexp_replace(v, OUS_ACID, "ite")))))
+    kept = F.array_distinct(F.filter(F.concat(found, F.array(F.trim(s))), lambda x: x.isNotNull() & (x != "")))
     return F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(F.length(x).alias("n"), x.alias("name")))), lambda x: x["name"])
 
 

@@ -20,8 +20,8 @@ def translate(s: Column) -> Column:
     """Protein of an upper-cased sequence; trailing bases of no codon are cut, unknown codons are X."""
     table = F.create_map(*[F.lit(x) for pair in CODONS.items() for x in pair])
     up = F.upper(s)
-    codons = F.transform(F.sequence(F.lit(1), F.length(s) - 2, F.lit(3)), lambda i: F.coalesce(F.try_element_at(table, F.substring(up, i, 3)), F.lit("X")))
-    return F.when(s.isNull(), None).when(F.length(s) < 3, "").otherwise(F.array_join(codons, ""))
+    codons = F.transform(F.regexp_extract_all(up, F.lit("(?s).{3}"), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), F.lit("X")))
+    return F.when(s.isNull(), None).otherwise(F.array_join(codons, ""))
 
 
 def gc_fraction(s: Column) -> Column:

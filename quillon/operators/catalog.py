@@ -8,9 +8,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _largest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row of each key: the largest by all columns in order, as text."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    order = F.struct(*[F.to_json(F.struct(c)).alias(c) for c in rest])
+    picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row"))
+    return picked.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in rows.columns])
+
+
 def upsert(current: DataFrame, new: DataFrame, keys: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """current with the rows of new put in by key; of columns in `keep` a present value stays."""
-    old, fresh = current.alias("old"), new.dropDuplicates(list(keys)).alias("new")
+    """current with the rows of new put in by key; of columns in `keep` a present value stays. Of new rows of one key the largest counts."""
+    old, fresh = current.alias("old"), _largest(new, keys).alias("new")
     joined = old.join(fresh, [F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}")) for k in keys], "full")
     here = F.coalesce(*[F.col(f"new.{k}").isNotNull() for k in keys][:1])
     cells = []
@@ -95,8 +105,8 @@ def deleted(objects: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def registered(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """current and those of new whose key isn't taken."""
-    return current.unionByName(new.dropDuplicates([key]).join(current.select(key), key, "left_anti"))
+    """current and those of new whose key isn't taken; of new rows of one key the largest."""
+    return current.unionByName(_largest(new, [key]).join(current.select(key), key, "left_anti"))
 
 
 def changed_blobs(objects: DataFrame, new: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from quillon.functions import chemistry, names
 
 #: What each kind of evidence adds.
 NAME_SCORE, STRUCTURE_SCORE, FORMULA_SCORE, HYDROGEN_SCORE = 10, 8, 2, 2
-EC_SCORE, EC_PREFIX_SCORE, EQUATION_SCORE = 8, 6, 20
+EC_SCORE, EC_PREFIX_SCORE, EQUATION_SCORE, TRANSPORT_SCORE, PROTON_SCORE = 8, 6, 20, 10, 2
 
 
 def aliases(entities: DataFrame) -> DataFrame:
@@ -35,14 +35,16 @@ def structures(entities: DataFrame) -> DataFrame:
 
 
 def compounds(queries: DataFrame, alias_table: DataFrame, structure_table: DataFrame | None = None, formulas: DataFrame | None = None) -> DataFrame:
-    """Scored hits (query_id, entity_id, score) of queries(query_id, identifiers, structures, formula)."""
+    """Scored hits (query_id, entity_id, score) of queries(query_id, identifiers, structures, formula).
+
+    A formula counts if all elements but hydrogen agree, and more if both have hydrogen, as much of it."""
     ids = queries.select("query_id", F.explode("identifiers").alias("q")).select("query_id", names.standard(F.col("q")).alias("alias_std"))
     evidence = ids.join(alias_table, "alias_std").select("query_id", "entity_id", F.lit(NAME_SCORE).alias("score"))
     if structure_table is not None:
         keys = queries.select("query_id", F.explode("structures").alias("key"))
         evidence = evidence.union(keys.join(structure_table, "key").select("query_id", "entity_id", F.lit(STRUCTURE_SCORE).alias("score")))
     if formulas is not None:
-        shape = lambda df, key: df.select(key, F.map_filter(chemistry.element_map(F.col("formula")), lambda e, n: e != "H").alias("m"), F.coalesce(F.try_element_at(chemistry.element_map(F.col("formula")), F.lit("H")), F.lit(0)).alias("h")).select(key, F.to_json(F.array_sort(F.map_entries("m"))).alias("heavy"), "h").where("heavy <> '[]'")
+        shape = lambda df, key: df.select(key, F.map_filter(chemistry.element_map(F.col("formula")), lambda e, n: e != "H").alias("m"), F.try_element_at(chemistry.element_map(F.col("formula")), F.lit("H")).alias("h")).select(key, F.to_json(F.array_sort(F.map_entries("m"))).alias("heavy"), "h").where("heavy <> '[]'")
         joined = shape(queries, "query_id").join(shape(formulas, "entity_id").withColumnRenamed("h", "h2"), "heavy")
         evidence = evidence.union(joined.select("query_id", "entity_id", F.when(F.col("h") == F.col("h2"), FORMULA_SCORE + HYDROGEN_SCORE).otherwise(FORMULA_SCORE).alias("score")))
     return evidence.groupBy("query_id", "entity_id").agg(F.sum("score").alias("score"))
@@ -55,30 +57,56 @@ def variants(queries: DataFrame, alias_table: DataFrame) -> DataFrame:
     return scored.groupBy("query_id", "entity_id").agg(F.max("score").alias("score"), F.max_by("variant", F.struct("score", -F.col("at"))).alias("variant"))
 
 
-def reactions(stoich: DataFrame, reference: DataFrame, identified: DataFrame, ecs: DataFrame | None = None, reference_ecs: DataFrame | None = None, missing: int = 1) -> DataFrame:
+def reactions(
+    stoich: DataFrame, reference: DataFrame, identified: DataFrame, ecs: DataFrame | None = None, reference_ecs: DataFrame | None = None,
+    missing: int = 1, compound_hits: DataFrame | None = None, protons: DataFrame | None = None, reference_protons: DataFrame | None = None,
+) -> DataFrame:
     """Scored hits (query_id, entity_id, score, fraction) of reactions.
 
-    stoich(query_id, compound, coefficient) and reference(entity_id, compound, coefficient) are net equations;
-    identified(query_id, entity_id, n) counts matched identifiers. Both directions of an equation are tried. An equation
-    counts if the hit is identified or if all but `missing` compounds (none for two or fewer) agree and both have the
-    same number of compounds."""
-    base = identified.select("query_id", "entity_id", (F.col("n") * NAME_SCORE).cast("double").alias("score"))
+    stoich(query_id, compound, coefficient[, transport]) and reference(entity_id, compound, coefficient[, transport]) are
+    net equations, with a compound's coefficient in the outermost compartment where it is moved; identified(query_id,
+    entity_id, n) are matched identifiers, which count once. An EC number that no reaction has is tried by its first three
+    levels. compound_hits(compound, entity) says which reference compounds a query's may be; without it, equal ids are.
+
+    Both directions are tried, the reverse one first, and each adds what it finds. An equation counts if the hit is known
+    by now or if all but `missing` compounds (none for two or fewer) agree and both have as many compounds; a transport, if
+    all moved compounds agree and the hit is known by now or the query only moves compounds; equal protons
+    (protons(query_id, protons), reference_protons(entity_id, protons)), if the hit is known by now."""
+    key, zero = ["query_id", "entity_id"], F.lit(0.0)
+    base = identified.select(*key, F.lit(float(NAME_SCORE)).alias("score")).distinct()
     if ecs is not None and reference_ecs is not None:
-        whole = ecs.join(reference_ecs, "ec").select("query_id", "entity_id", F.lit(float(EC_SCORE)).alias("score")).distinct()
-        cut = lambda df, key: df.select(key, names.ec_prefix(F.col("ec")).alias("prefix")).distinct()
-        near = cut(ecs, "query_id").join(cut(reference_ecs, "entity_id"), "prefix").select("query_id", "entity_id").distinct().join(whole, ["query_id", "entity_id"], "left_anti").withColumn("score", F.lit(float(EC_PREFIX_SCORE)))
+        whole = ecs.join(reference_ecs, "ec").select(*key, F.lit(float(EC_SCORE)).alias("score")).distinct()
+        cut = lambda df, name: df.select(name, names.ec_prefix(F.col("ec")).alias("prefix")).distinct()
+        unknown = ecs.join(reference_ecs.select("ec"), "ec", "left_anti")
+        near = cut(unknown, "query_id").join(cut(reference_ecs, "entity_id"), "prefix").select(*key).distinct().join(whole, key, "left_anti").withColumn("score", F.lit(float(EC_PREFIX_SCORE)))
         base = base.union(whole).union(near)
-    sizes = lambda df, key: df.groupBy(key).agg(F.countDistinct("compound").alias(f"n_{key}"))
-    signed = stoich.select("query_id", "compound", "coefficient", F.explode(F.array(F.lit(1), F.lit(-1))).alias("sign"))
-    shared = signed.join(reference.withColumnRenamed("coefficient", "other"), "compound").where(F.col("coefficient") * F.col("sign") == F.col("other"))
-    best = shared.groupBy("query_id", "entity_id", "sign").agg(F.countDistinct("compound").alias("same")).groupBy("query_id", "entity_id").agg(F.max("same").alias("same"))
-    scored = best.join(sizes(stoich, "query_id"), "query_id").join(sizes(reference, "entity_id"), "entity_id").withColumn("fraction", F.col("same") / F.col("n_query_id"))
-    may_miss = F.when(F.col("n_query_id") <= 2, 0).otherwise(missing)
-    told = identified.select("query_id", "entity_id").distinct().withColumn("named", F.lit(True))
-    counted = scored.join(told, ["query_id", "entity_id"], "left").where(F.col("named") | ((F.col("same") >= F.col("n_query_id") - may_miss) & (F.col("n_query_id") == F.col("n_entity_id"))))
-    equation = counted.select("query_id", "entity_id", (EQUATION_SCORE * F.col("fraction")).alias("score"), "fraction")
-    both = base.withColumn("fraction", F.lit(None).cast("double")).unionByName(equation)
-    return both.groupBy("query_id", "entity_id").agg(F.sum("score").alias("score"), F.max("fraction").alias("fraction"))
+    told = base.groupBy(*key).agg(F.sum("score").alias("told"))
+    with_transport = lambda df: df if "transport" in df.columns else df.withColumn("transport", F.lit(None).cast("double"))
+    mine, theirs = with_transport(stoich), with_transport(reference)
+    sizes = lambda df, name, moved, n: df.groupBy(name).agg(F.countDistinct("compound").alias(n), F.countDistinct(F.when(F.col("transport").isNotNull(), F.col("compound"))).alias(moved))
+    mapped = mine.withColumn("entity", F.col("compound")) if compound_hits is None else mine.join(compound_hits.select("compound", "entity").distinct(), "compound")
+    met = mapped.join(theirs.select("entity_id", F.col("compound").alias("entity"), F.col("coefficient").alias("other"), F.col("transport").alias("moved")), "entity")
+    same = lambda condition, name: F.countDistinct(F.when(condition, F.col("compound"))).alias(name)
+    counts = met.groupBy(*key).agg(
+        same(F.col("coefficient") == -F.col("other"), "back"), same(F.col("coefficient") == F.col("other"), "ahead"), same(F.col("transport") == -F.col("moved"), "moved_back"), same(F.col("transport") == F.col("moved"), "moved_ahead")
+    )
+    counts = counts.where("back > 0 or ahead > 0 or moved_back > 0 or moved_ahead > 0")
+    pure = mine.groupBy("query_id").agg((F.max(F.abs("coefficient")) < 1e-9).alias("pure"))
+    joined = told.join(counts, key, "full").join(sizes(mine, "query_id", "t", "n").join(pure, "query_id"), "query_id", "left").join(sizes(theirs, "entity_id", "t2", "n2").drop("t2"), "entity_id", "left")
+    if protons is not None and reference_protons is not None:
+        joined = joined.join(protons.select("query_id", F.col("protons").alias("p")), "query_id", "left").join(reference_protons.select("entity_id", F.col("protons").alias("p2")), "entity_id", "left")
+    else:
+        joined = joined.withColumns({"p": F.lit(None).cast("double"), "p2": F.lit(None).cast("double")})
+    may_miss = F.when(F.col("n") <= 2, 0).otherwise(missing)
+    joined = joined.withColumns({"score": F.coalesce("told", zero), "known": F.col("told").isNotNull(), "fraction": F.lit(None).cast("double")})
+    for sign, agree, moved in ((-1, "back", "moved_back"), (1, "ahead", "moved_ahead")):
+        counted = (F.col(agree) > 0) & (F.col("known") | ((F.col(agree) >= F.col("n") - may_miss) & (F.col("n") == F.col("n2"))))
+        joined = joined.withColumn("ok", F.coalesce(counted, F.lit(False))).withColumn("part", F.col(agree) / F.col("n"))
+        joined = joined.withColumns({"score": F.col("score") + F.when(F.col("ok"), EQUATION_SCORE * F.col("part")).otherwise(zero), "fraction": F.greatest("fraction", F.when(F.col("ok"), F.col("part"))), "known": F.col("known") | F.col("ok")})
+        joined = joined.withColumn("ok", F.coalesce((F.col(moved) > 0) & (F.col(moved) == F.col("t")) & (F.col("known") | F.col("pure")), F.lit(False)))
+        joined = joined.withColumns({"score": F.col("score") + F.when(F.col("ok"), TRANSPORT_SCORE * F.col(moved)).otherwise(zero), "known": F.col("known") | F.col("ok")})
+        joined = joined.withColumn("score", F.col("score") + F.when(F.col("known") & (F.col("p") * sign == F.col("p2")), F.lit(float(PROTON_SCORE))).otherwise(zero))
+    return joined.where("known").select(*key, "score", "fraction")
 
 
 def preferred(hits: DataFrame, key: str, flag: str) -> DataFrame:
@@ -214,25 +242,28 @@ def renamed(ids: DataFrame, mapping: DataFrame, existing: DataFrame) -> DataFram
     return ids.join(first, "id", "left").select("id", F.coalesce("new_id", "id").alias("new_id"), F.col("new_id").isNotNull().alias("renamed"))
 
 
-def namespace_fixpoint(compound_hits: DataFrame, equations: DataFrame, reference: DataFrame, passes: int = 10) -> DataFrame:
+def namespace_fixpoint(compound_hits: DataFrame, equations: DataFrame, reference: DataFrame, passes: int | None = None) -> DataFrame:
     """Compound translations (compound, entity) to a fixpoint.
 
     A start are compounds with one strong hit. In each pass reactions all of whose compounds but one are translated are
-    matched to reference reactions; the last compound then takes what the match leaves over. Passes end when one adds
-    nothing, or after `passes`. equations(reaction, compound, coefficient), reference(entity_reaction, entity, coefficient)."""
+    matched to reference reactions; the last compound then takes what the match leaves over, unless another takes the same
+    one: then none does. Passes end when one adds nothing, or after `passes` if that is given. equations(reaction, compound, coefficient), reference(entity_reaction, entity, coefficient)."""
     from quillon.sources.sinks import stored
 
     strong = compound_hits.where("strong").groupBy("compound").agg(F.count("*").alias("n"), F.first("entity").alias("entity")).where("n = 1").select("compound", "entity")
     known = stored(strong)
     size = reference.groupBy("entity_reaction").agg(F.count("*").alias("n_entity"))
     own = equations.groupBy("reaction").agg(F.count("*").alias("n"))
-    for _ in range(passes):
+    done = 0
+    while passes is None or done < passes:
+        done += 1
         open_ = equations.join(known, "compound", "left").join(own, "reaction")
         matched = open_.where("entity is not null").join(reference, ["entity", "coefficient"]).groupBy("reaction", "entity_reaction", "n").agg(F.count("*").alias("same")).where("same = n - 1").join(size, "entity_reaction").where("n_entity = n")
         one = matched.groupBy("reaction").agg(F.count("*").alias("k"), F.first("entity_reaction").alias("entity_reaction")).where("k = 1")
         left = open_.where("entity is null").select("reaction", "compound", "coefficient").join(one.select("reaction", "entity_reaction"), "reaction").join(reference, ["entity_reaction", "coefficient"])
         fresh = left.join(known.select("entity"), "entity", "left_anti").groupBy("compound").agg(F.countDistinct("entity").alias("k"), F.first("entity").alias("entity")).where("k = 1").select("compound", "entity").join(known, "compound", "left_anti")
-        fresh = stored(fresh)
+        alone = fresh.groupBy("entity").agg(F.count("*").alias("k")).where("k = 1").select("entity")
+        fresh = stored(fresh.join(alone, "entity").select("compound", "entity"))
         if fresh.isEmpty():
             break
         known = stored(known.unionByName(fresh))

@@ -82,7 +82,7 @@ def deleted(spark, sf_dir):
 
 
 def lineage(spark, sf_dir):
-    edges = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("child_id"), F.floor(F.col("p_partkey") / 3).alias("parent_id")).where("p_partkey < 200")
+    edges = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("child_id"), F.floor(F.col("p_partkey") / 3).alias("parent_id"))
     return catalog.lineage(edges)
 
 
@@ -110,7 +110,7 @@ QUERIES = {
     "vector_parents": lambda s, d: table(s, d, "nation").groupBy(F.col("n_regionkey").alias("child_id")).agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("parents")),
     "lake_limit_offset": lambda s, d: (table(s, d, "orders").createOrReplaceTempView("lake_orders"), lake.rows(s, "SELECT o_orderkey, o_totalprice FROM lake_orders ORDER BY o_orderkey", 50, 25))[1],
     "lake_default_limit": lambda s, d: (table(s, d, "part").createOrReplaceTempView("lake_part"), lake.rows(s, "SELECT p_partkey, p_brand FROM lake_part ORDER BY p_partkey"))[1],
-    "lake_paginate": lambda s, d: lake.paged(table(s, d, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], 1000, 5),
+    "lake_paginate": lambda s, d: lake.paged(table(s, d, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], 1000),
     "lake_like_filter": lambda s, d: (table(s, d, "part").createOrReplaceTempView("lake_part"), s.sql("SELECT p_partkey AS id, p_name AS name, p_retailprice AS price FROM lake_part WHERE p_brand LIKE 'Brand#1%' AND p_size > 10 ORDER BY p_retailprice DESC, p_partkey"))[1],
     "jobs_active": lambda s, d: ledger.active(jobs(s, d)).select("job_id", "state", "created_at"),
     "jobs_by_state": lambda s, d: ledger.by_state(jobs(s, d), "error").select("job_id", "state"),
@@ -139,14 +139,14 @@ ORACLES = {
     "cache_delete_orphans": f"WITH {_OBJECTS}, gone AS (SELECT id FROM objects WHERE type IN ('1-URGENT', '2-HIGH') OR created_at < '1995-01-01'), lft AS (SELECT * FROM objects WHERE id NOT IN (SELECT id FROM gone)) SELECT content_hash, count(*) AS n, false AS orphan FROM lft GROUP BY 1 UNION ALL SELECT DISTINCT content_hash, 0, true FROM objects WHERE id IN (SELECT id FROM gone) AND content_hash NOT IN (SELECT content_hash FROM lft)",
     "stale_objects": f"WITH {_OBJECTS}, {_STALE} SELECT id, stale FROM stale",
     "json_inputs": "SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_orderkey - 1 AS VARCHAR) AS input FROM orders UNION ALL SELECT CAST(o_orderkey AS VARCHAR), CAST(o_orderkey + 1 AS VARCHAR) FROM orders",
-    "lineage_closure": "WITH RECURSIVE e AS (SELECT p_partkey AS c, p_partkey // 3 AS p FROM part WHERE p_partkey < 200), up AS (SELECT c AS descendant, p AS ancestor FROM e UNION SELECT u.descendant, e.p FROM up u JOIN e ON u.ancestor = e.c) SELECT DISTINCT ancestor, descendant FROM up",
+    "lineage_closure": "WITH RECURSIVE e AS (SELECT p_partkey AS c, p_partkey // 3 AS p FROM part), up AS (SELECT c AS descendant, p AS ancestor FROM e UNION SELECT u.descendant, e.p FROM up u JOIN e ON u.ancestor = e.c) SELECT DISTINCT ancestor, descendant FROM up",
     "integrity_report": "SELECT rule, CAST(k AS VARCHAR) AS key, count(*) AS n FROM (SELECT 'order without customer' AS rule, o_custkey AS k FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0) UNION ALL SELECT 'line without part', l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 11 <> 0) UNION ALL SELECT 'supplier without nation', s_nationkey FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation)) GROUP BY 1, 2",
     "upsert_latest": "SELECT user_id, event_type, event_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1",
     "upsert_keep_created": "WITH r AS (SELECT *, event_id % 2 AS side, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts DESC, event_id DESC) AS n FROM events), a AS (SELECT * FROM r WHERE n = 1 AND side = 0), b AS (SELECT * FROM r WHERE n = 1 AND side = 1) SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(b.event_type, a.event_type) AS event_type, coalesce(a.ts, b.ts) AS created_at, coalesce(b.ts, a.ts) AS updated_at FROM a FULL JOIN b ON a.user_id = b.user_id",
     "vector_parents": "SELECT n_regionkey AS child_id, string_agg(n_name, ',' ORDER BY n_name) AS parents FROM nation GROUP BY 1",
     "lake_limit_offset": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 25",
     "lake_default_limit": "SELECT p_partkey, p_brand FROM part ORDER BY p_partkey LIMIT 100",
-    "lake_paginate": "SELECT o_orderkey, o_custkey, page FROM (SELECT o_orderkey, o_custkey, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS BIGINT) AS page FROM orders) WHERE page < 5",
+    "lake_paginate": "SELECT o_orderkey, o_custkey, page FROM (SELECT o_orderkey, o_custkey, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS BIGINT) AS page FROM orders)",
     "lake_like_filter": "SELECT p_partkey AS id, p_name AS name, p_retailprice AS price FROM part WHERE p_brand LIKE 'Brand#1%' AND p_size > 10",
     "jobs_active": f"{_JOBS} SELECT job_id, state, created_at FROM jobs WHERE state NOT IN ('completed', 'error', 'terminated')",
     "jobs_by_state": f"{_JOBS} SELECT job_id, state FROM jobs WHERE state = 'error'",

@@ -37,7 +37,7 @@ def reports(spark, sf_dir):
 
 
 def members(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").where("l_partkey < 400").select("l_returnflag", "l_partkey").distinct()
+    return table(spark, sf_dir, "lineitem").select("l_returnflag", "l_partkey").distinct()
 
 
 def knockouts(spark, sf_dir):
@@ -50,7 +50,7 @@ def signed(spark, sf_dir):
 
 
 def loops(spark, sf_dir):
-    return fluxes.loops(table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("loop_id"), F.concat(F.lit("r"), F.col("l_partkey") % 4).alias("reaction_id"), F.when(F.col("l_quantity") > 25, ">").otherwise("<").alias("direction")))
+    return fluxes.loops(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("loop_id"), F.concat(F.lit("r"), F.col("l_partkey") % 4).alias("reaction_id"), F.when(F.col("l_quantity") > 25, ">").otherwise("<").alias("direction")))
 
 
 QUERIES = {
@@ -70,7 +70,7 @@ QUERIES = {
     "nway_intersection": lambda s, d: fluxes.shared(members(s, d), "l_returnflag", "l_partkey", 3),
     "nway_distinctive": lambda s, d: fluxes.distinctive(members(s, d).where("l_returnflag <> 'N' or l_partkey % 3 <> 0"), "l_returnflag", "l_partkey", fluxes.shared(members(s, d).where("l_returnflag <> 'N' or l_partkey % 3 <> 0"), "l_returnflag", "l_partkey", 3)),
     "map_overlap": lambda s, d: fluxes.overlap(table(s, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id")), table(s, d, "orders").select(F.col("o_custkey").alias("id"))),
-    "cumulative_diff": lambda s, d: fluxes.cumulative(table(s, d, "lineitem").where("l_partkey < 60").select(F.year("l_shipdate").alias("step"), F.col("l_returnflag").alias("category"), F.col("l_partkey").alias("member")).distinct(), "step"),
+    "cumulative_diff": lambda s, d: fluxes.cumulative(table(s, d, "lineitem").select(F.year("l_shipdate").alias("step"), F.col("l_returnflag").alias("category"), F.col("l_partkey").alias("member")).distinct(), "step"),
 }
 
 ORACLES = {
@@ -83,12 +83,12 @@ ORACLES = {
     "knockout_impact": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' OR o_totalprice / 400000 < 0.01 THEN 'essential' WHEN o_totalprice / 400000 < 0.95 THEN 'reduced' ELSE 'dispensable' END AS impact FROM orders",
     "flux_top_n": "SELECT c_name AS reaction_id, c_acctbal AS flux FROM customer ORDER BY abs(c_acctbal) DESC, c_name LIMIT 25",
     "flux_resigned": "SELECT CASE WHEN c_acctbal < 0 THEN c_name || '-rev' ELSE c_name END AS reaction_id, abs(c_acctbal) AS flux FROM customer",
-    "flux_loops": "WITH m AS (SELECT DISTINCT l_orderkey AS k, 'r' || (l_partkey % 4) || CASE WHEN l_quantity > 25 THEN '>' ELSE '<' END AS x FROM lineitem WHERE l_orderkey % 3 = 0), s AS (SELECT k, string_agg(x, ',' ORDER BY x) AS members FROM m GROUP BY 1) SELECT min(k) AS loop_id, members FROM s GROUP BY members",
+    "flux_loops": "WITH m AS (SELECT DISTINCT l_orderkey AS k, 'r' || (l_partkey % 4) || CASE WHEN l_quantity > 25 THEN '>' ELSE '<' END AS x FROM lineitem), s AS (SELECT k, string_agg(x, ',' ORDER BY x) AS members FROM m GROUP BY 1) SELECT min(k) AS loop_id, members FROM s GROUP BY members",
     "media_union": "SELECT s_nationkey AS element, string_agg(s_name, ',' ORDER BY s_name) AS media FROM supplier WHERE s_acctbal > 5000 GROUP BY 1",
     "report_diff": "WITH b AS (SELECT DISTINCT l_returnflag AS category, CAST(l_partkey % 97 AS VARCHAR) AS m FROM lineitem WHERE year(l_shipdate) = 1996 AND l_partkey % 97 % 5 <> 0), a AS (SELECT DISTINCT l_returnflag AS category, CAST(l_partkey % 97 AS VARCHAR) AS m FROM lineitem WHERE year(l_shipdate) = 1997 AND l_partkey % 97 % 4 <> 0), x AS (SELECT category, 'added' AS change, m FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT category, 'removed', m FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) SELECT category, change, string_agg(m, ',' ORDER BY m) AS members, count(*) AS n FROM x GROUP BY 1, 2",
     "report_counts": "WITH b AS (SELECT DISTINCT l_returnflag AS category, CAST(l_partkey % 97 AS VARCHAR) AS m FROM lineitem WHERE year(l_shipdate) = 1996 AND l_partkey % 97 % 5 <> 0) SELECT category, count(*) AS n, string_agg(m, ',' ORDER BY m) AS members FROM b GROUP BY 1",
-    "nway_intersection": "SELECT l_partkey FROM lineitem WHERE l_partkey < 400 GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 3",
-    "nway_distinctive": "WITH m AS (SELECT DISTINCT l_returnflag, l_partkey FROM lineitem WHERE l_partkey < 400 AND (l_returnflag <> 'N' OR l_partkey % 3 <> 0)) SELECT l_returnflag, min(l_partkey) AS l_partkey FROM m WHERE l_partkey NOT IN (SELECT l_partkey FROM m GROUP BY 1 HAVING count(*) = 3) GROUP BY 1",
+    "nway_intersection": "SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 3",
+    "nway_distinctive": "WITH m AS (SELECT DISTINCT l_returnflag, l_partkey FROM lineitem WHERE (l_returnflag <> 'N' OR l_partkey % 3 <> 0)) SELECT l_returnflag, min(l_partkey) AS l_partkey FROM m WHERE l_partkey NOT IN (SELECT l_partkey FROM m GROUP BY 1 HAVING count(*) = 3) GROUP BY 1",
     "map_overlap": "WITH a AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 3 = 0), b AS (SELECT DISTINCT o_custkey AS id FROM orders), n AS (SELECT (SELECT count(*) FROM a) AS x, (SELECT count(*) FROM b) AS y, (SELECT count(*) FROM a JOIN b USING (id)) AS z) SELECT x AS n_map, y AS n_model, z AS n_shared, CAST(z AS DOUBLE) / x AS map_share, CAST(z AS DOUBLE) / y AS model_share FROM n",
-    "cumulative_diff": "WITH r AS (SELECT DISTINCT CAST(year(l_shipdate) AS INTEGER) AS step, l_returnflag AS category, l_partkey AS member FROM lineitem WHERE l_partkey < 60), st AS (SELECT step, lead(step) OVER (ORDER BY step) AS nx FROM (SELECT DISTINCT step FROM r)), bef AS (SELECT nx AS step, category, member FROM r JOIN st USING (step) WHERE nx IS NOT NULL), aft AS (SELECT * FROM r WHERE step > (SELECT min(step) FROM r)) SELECT *, 'added' AS change FROM (SELECT * FROM aft EXCEPT SELECT * FROM bef) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM bef EXCEPT SELECT * FROM aft)",
+    "cumulative_diff": "WITH r AS (SELECT DISTINCT CAST(year(l_shipdate) AS INTEGER) AS step, l_returnflag AS category, l_partkey AS member FROM lineitem), st AS (SELECT step, lead(step) OVER (ORDER BY step) AS nx FROM (SELECT DISTINCT step FROM r)), bef AS (SELECT nx AS step, category, member FROM r JOIN st USING (step) WHERE nx IS NOT NULL), aft AS (SELECT * FROM r WHERE step > (SELECT min(step) FROM r)) SELECT *, 'added' AS change FROM (SELECT * FROM aft EXCEPT SELECT * FROM bef) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM bef EXCEPT SELECT * FROM aft)",
 }

@@ -10,10 +10,10 @@ from quillon.plans import table
 
 def formula():
     """Part sizes as formulas: carbon by size, hydrogen by key, oxygen where the key is even."""
-    return F.concat(F.lit("C"), F.col("p_size"), F.lit("H"), F.col("p_partkey") % 7 + 1, F.when(F.col("p_partkey") % 2 == 0, "O2").otherwise("N"))
+    return F.concat(F.lit("C"), F.col("p_size"), F.when(F.col("p_partkey") % 4 != 0, F.concat(F.lit("H"), F.col("p_partkey") % 7 + 1)).otherwise(""), F.when(F.col("p_partkey") % 2 == 0, "O2").otherwise("N"))
 
 
-_SQL_FORMULA = "'C' || p_size || 'H' || (p_partkey % 7 + 1) || CASE WHEN p_partkey % 2 = 0 THEN 'O2' ELSE 'N' END"
+_SQL_FORMULA = "'C' || p_size || CASE WHEN p_partkey % 4 <> 0 THEN 'H' || (p_partkey % 7 + 1) ELSE '' END || CASE WHEN p_partkey % 2 = 0 THEN 'O2' ELSE 'N' END"
 
 
 def compounds(spark, sf_dir):
@@ -23,32 +23,51 @@ def compounds(spark, sf_dir):
 
 def stoichiometry(spark, sf_dir):
     """Lines of orders, merged, as compounds of reactions: even line numbers are products."""
-    line = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0 or l_orderkey % 20 = 1")
+    line = table(spark, sf_dir, "lineitem")
     side = F.when(F.col("l_linenumber") % 2 == 0, F.lit(1.0)).otherwise(-1.0)
     comp = F.when(F.col("l_suppkey") % 3 == 0, "e").when(F.col("l_suppkey") % 3 == 1, "p").otherwise("c")
     return line.groupBy(F.col("l_orderkey").alias("reaction_id"), F.col("l_partkey").cast("string").alias("compound_id"), comp.alias("compartment")).agg(F.sum(side * F.floor(F.col("l_quantity") / 10 + 1)).alias("coefficient")).where("coefficient <> 0")
 
 
 _STOICH = """s AS (SELECT l_orderkey AS reaction_id, CAST(l_partkey AS VARCHAR) AS compound_id, CASE l_suppkey % 3 WHEN 0 THEN 'e' WHEN 1 THEN 'p' ELSE 'c' END AS compartment,
-sum((CASE WHEN l_linenumber % 2 = 0 THEN 1.0 ELSE -1.0 END) * CAST(floor(l_quantity / 10 + 1) AS DOUBLE)) AS coefficient FROM lineitem WHERE l_orderkey % 20 IN (0, 1) GROUP BY ALL HAVING sum((CASE WHEN l_linenumber % 2 = 0 THEN 1.0 ELSE -1.0 END) * CAST(floor(l_quantity / 10 + 1) AS DOUBLE)) <> 0)"""
-_COMPOUNDS = f"c AS (SELECT CAST(p_partkey AS VARCHAR) AS id, {_SQL_FORMULA} AS formula, p_size, p_partkey % 7 + 1 AS h, CAST(p_partkey % 3 - 1 AS INTEGER) AS charge, p_retailprice - 1000 AS g, p_partkey % 2 = 0 AS even FROM part)"
-_ELEMENTS = "el AS (SELECT id, 'C' AS element, p_size AS n FROM c UNION ALL SELECT id, 'H', h FROM c UNION ALL SELECT id, CASE WHEN even THEN 'O' ELSE 'N' END, CASE WHEN even THEN 2 ELSE 1 END FROM c)"
+sum((CASE WHEN l_linenumber % 2 = 0 THEN 1.0 ELSE -1.0 END) * CAST(floor(l_quantity / 10 + 1) AS DOUBLE)) AS coefficient FROM lineitem GROUP BY ALL HAVING sum((CASE WHEN l_linenumber % 2 = 0 THEN 1.0 ELSE -1.0 END) * CAST(floor(l_quantity / 10 + 1) AS DOUBLE)) <> 0)"""
+_COMPOUNDS = f"c AS (SELECT CAST(p_partkey AS VARCHAR) AS id, {_SQL_FORMULA} AS formula, p_size, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey % 7 + 1 END AS h, CAST(p_partkey % 3 - 1 AS INTEGER) AS charge, p_retailprice - 1000 AS g, p_partkey % 2 = 0 AS even FROM part)"
+_ELEMENTS = "el AS (SELECT id, 'C' AS element, p_size AS n FROM c UNION ALL SELECT id, 'H', h FROM c WHERE h IS NOT NULL UNION ALL SELECT id, CASE WHEN even THEN 'O' ELSE 'N' END, CASE WHEN even THEN 2 ELSE 1 END FROM c)"
 _STD = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
 
 
 def scored(spark, sf_dir):
+    """A search: its queries are the parts whose key 50 divides, its candidates all parts. Every fourth part has no hydrogen."""
     own = compounds(spark, sf_dir)
-    queries = table(spark, sf_dir, "part").where("p_partkey % 40 = 0").select(F.col("p_partkey").alias("query_id"), F.array("p_name", "p_brand").alias("identifiers"), F.array().cast("array<string>").alias("structures"), formula().alias("formula"))
+    queries = table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.array("p_name", "p_brand").alias("identifiers"), F.array().cast("array<string>").alias("structures"), formula().alias("formula"))
     return matching.compounds(queries, matching.aliases(own), None, own.select(F.col("id").alias("entity_id"), "formula"))
 
 
 _SCORED = f"""WITH al AS (SELECT CAST(p_partkey AS VARCHAR) AS entity_id, unnest([CAST(p_partkey AS VARCHAR), {_STD.format('p_name')}, {_STD.format('p_brand')}, {_STD.format('p_type')}]) AS a FROM part),
-q AS (SELECT p_partkey AS query_id, unnest([{_STD.format('p_name')}, {_STD.format('p_brand')}]) AS a FROM part WHERE p_partkey % 40 = 0), {_COMPOUNDS},
+q AS (SELECT p_partkey AS query_id, unnest([{_STD.format('p_name')}, {_STD.format('p_brand')}]) AS a FROM part WHERE p_partkey % 50 = 0), {_COMPOUNDS},
 ev AS (SELECT query_id, entity_id, 10 AS score FROM q JOIN al USING (a) UNION ALL
-SELECT CAST(x.id AS BIGINT), y.id, CASE WHEN x.h = y.h THEN 4 ELSE 2 END FROM c x JOIN c y ON x.p_size = y.p_size AND x.even = y.even WHERE CAST(x.id AS BIGINT) % 40 = 0)
+SELECT CAST(x.id AS BIGINT), y.id, CASE WHEN x.h = y.h THEN 4 ELSE 2 END FROM c x JOIN c y ON x.p_size = y.p_size AND x.even = y.even WHERE CAST(x.id AS BIGINT) % 50 = 0)
 SELECT query_id, entity_id, CAST(sum(score) AS BIGINT) AS score FROM ev GROUP BY 1, 2"""
 
 
+#: Example names, each with the variants that the rules give.
+NAMED = {
+    "L-Alanine": "L-Alanine",
+    "DL-Lactic acid": "Lactate|D-Lactate|L-Lactate|DL-Lactate|Lactic acid|D-Lactic acid|L-Lactic acid|DL-Lactic acid",
+    "Sodium acetate trihydrate": "acetate|acetic acid|Sodium acetate trihydrate",
+    "Calcium chloride hemihydrate": "chloride|Calcium chloride hemihydrate",
+    "Citric acid trisodium salt": "Citrate|Citric acid|Citric acid trisodium salt",
+    "Zinc sulfate": "Zinc sulfate|Zinc sulfic acid",
+    "Nitrous acid": "Nitrite|Nitrous acid",
+    "Glycine hydrochloride": "Glycine|Glycine hydrochloride",
+}
+
+
+def named_compound():
+    """Each part as one of the examples."""
+    return F.element_at(F.array(*map(F.lit, NAMED)), (F.col("p_partkey") % len(NAMED) + 1).cast("int"))
+
+
 def fallback(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_totalprice") > 300_000).alias("in_template"))
     return matching.preferred(o, "o_custkey", "in_template")
@@ -69,18 +88,34 @@ def by_function(spark, sf_dir):
 
 
 def reaction_hits(spark, sf_dir):
-    s = biochem.net(stoichiometry(spark, sf_dir)).select("reaction_id", F.col("base").alias("compound"), F.col("total").alias("coefficient")).where("coefficient <> 0")
-    queries = s.where("reaction_id % 40 = 0").withColumnRenamed("reaction_id", "query_id")
+    """A search: its queries are the reactions whose key 50 divides, its candidates all reactions. Names and EC numbers are given by keys."""
+    summary = biochem.net(stoichiometry(spark, sf_dir))
+    s = summary.select("reaction_id", F.col("base").alias("compound"), F.col("total").alias("coefficient"), "transport")
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("reaction_id")).distinct()
+    asked = F.col("reaction_id") % 50 == 0
+    named = line.where(asked).select(F.col("reaction_id").alias("query_id"), F.explode(F.array(F.col("reaction_id") + 1, F.col("reaction_id") + 2, F.col("reaction_id") + 3)).alias("entity_id"), F.lit(2).alias("n"))
+    named = named.join(line.withColumnRenamed("reaction_id", "entity_id"), "entity_id")
+    ec = lambda k: F.concat_ws(".", F.lit("1"), (k % 4999).cast("string"), F.lit("1"), (k % 3).cast("string"))
+    ecs = line.where(asked).select(F.col("reaction_id").alias("query_id"), ec(F.col("reaction_id")).alias("ec"))
+    theirs = line.where(~asked).select(F.col("reaction_id").alias("entity_id"), ec(F.col("reaction_id")).alias("ec"))
+    proton = lambda key: table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias(key), (F.col("o_custkey") % 3 - 1).cast("double").alias("protons"))
     own = s.withColumnRenamed("reaction_id", "entity_id")
-    named = s.where("reaction_id % 40 = 0").select(F.col("reaction_id").alias("query_id"), (F.col("reaction_id") + 1).alias("entity_id"), F.lit(1).alias("n")).distinct()
-    return matching.reactions(queries, own, named).select("query_id", "entity_id", F.round("score", 6).alias("score"))
+    return matching.reactions(s.where(asked).withColumnRenamed("reaction_id", "query_id"), own, named, ecs, theirs, protons=proton("query_id"), reference_protons=proton("entity_id")).select("query_id", "entity_id", F.round("score", 6).alias("score"))
 
 
-_REACTIONS = f"""WITH {_STOICH}, nt AS (SELECT reaction_id AS r, compound_id AS c, sum(coefficient) AS k FROM s GROUP BY 1, 2 HAVING sum(coefficient) <> 0), sz AS (SELECT r, count(*) AS n FROM nt GROUP BY 1),
-m AS (SELECT a.r AS q, b.r AS e, count(*) FILTER (a.k = b.k) AS p, count(*) FILTER (a.k = -b.k) AS v FROM nt a JOIN nt b USING (c) WHERE a.r % 40 = 0 GROUP BY 1, 2), named AS (SELECT DISTINCT r AS q, r + 1 AS e FROM nt WHERE r % 40 = 0),
-eq AS (SELECT m.q, m.e, greatest(p, v) AS same, x.n AS n, y.n AS ne FROM m JOIN sz x ON x.r = m.q JOIN sz y ON y.r = m.e WHERE greatest(p, v) > 0),
-ok AS (SELECT q, e, 20.0 * same / n AS score FROM eq WHERE (same >= n - CASE WHEN n <= 2 THEN 0 ELSE 1 END AND n = ne) OR (q, e) IN (SELECT q, e FROM named))
-SELECT q AS query_id, e AS entity_id, round(sum(score), 6) AS score FROM (SELECT q, e, CAST(score AS DOUBLE) AS score FROM ok UNION ALL SELECT q, e, 10.0 FROM named) GROUP BY 1, 2"""
+_REACTIONS = f"""WITH {_STOICH}, nt AS (SELECT reaction_id AS r, compound_id AS c, sum(coefficient) AS k, CASE WHEN count(*) > 1 THEN arg_min(coefficient, CASE compartment WHEN 'e' THEN 1 WHEN 'p' THEN 2 ELSE 4 END) END AS t FROM s GROUP BY 1, 2),
+sz AS (SELECT r, count(*) AS n, count(t) AS moved, max(abs(k)) < 1e-9 AS pure FROM nt GROUP BY 1), li AS (SELECT DISTINCT l_orderkey AS r FROM lineitem),
+named AS (SELECT q.r AS q, e.r AS e FROM li q JOIN li e ON e.r IN (q.r + 1, q.r + 2, q.r + 3) WHERE q.r % 50 = 0),
+ec AS (SELECT r, r % 4999 AS a, r % 3 AS b FROM li), full_ AS (SELECT x.r AS q, y.r AS e FROM ec x JOIN ec y ON x.a = y.a AND x.b = y.b WHERE x.r % 50 = 0 AND y.r % 50 <> 0),
+near AS (SELECT x.r AS q, y.r AS e FROM ec x JOIN ec y ON x.a = y.a WHERE x.r % 50 = 0 AND y.r % 50 <> 0 AND (x.a, x.b) NOT IN (SELECT (a, b) FROM ec WHERE r % 50 <> 0)),
+told AS (SELECT q, e, CAST(sum(v) AS DOUBLE) AS told FROM (SELECT DISTINCT q, e, 10 AS v FROM named UNION ALL SELECT DISTINCT q, e, 8 FROM full_ UNION ALL SELECT DISTINCT q, e, 6 FROM near) GROUP BY 1, 2),
+m AS (SELECT a.r AS q, b.r AS e, count(*) FILTER (a.k = -b.k) AS v, count(*) FILTER (a.k = b.k) AS p, count(*) FILTER (a.t = -b.t) AS tv, count(*) FILTER (a.t = b.t) AS tp FROM nt a JOIN nt b USING (c) WHERE a.r % 50 = 0 GROUP BY 1, 2),
+j AS (SELECT coalesce(told.q, m.q) AS q, coalesce(told.e, m.e) AS e, coalesce(told, 0) AS told, told.q IS NOT NULL AS named, coalesce(v, 0) AS v, coalesce(p, 0) AS p, coalesce(tv, 0) AS tv, coalesce(tp, 0) AS tp FROM told FULL JOIN (SELECT * FROM m WHERE v + p + tv + tp > 0) m ON told.q = m.q AND told.e = m.e),
+w AS (SELECT j.*, x.n, x.moved, x.pure, CASE WHEN x.n <= 2 THEN 0 ELSE 1 END AS miss, y.n AS n2, o1.o_custkey % 3 - 1 AS h, o2.o_custkey % 3 - 1 AS h2 FROM j LEFT JOIN sz x ON x.r = j.q LEFT JOIN sz y ON y.r = j.e LEFT JOIN orders o1 ON o1.o_orderkey = j.q LEFT JOIN orders o2 ON o2.o_orderkey = j.e),
+a AS (SELECT *, coalesce(v > 0 AND (named OR (v >= n - miss AND n = n2)), false) AS e1 FROM w), b AS (SELECT *, coalesce(tv > 0 AND tv = moved AND (named OR e1 OR pure), false) AS t1 FROM a),
+c2 AS (SELECT *, coalesce(p > 0 AND (named OR e1 OR t1 OR (p >= n - miss AND n = n2)), false) AS e2 FROM b), d AS (SELECT *, coalesce(tp > 0 AND tp = moved AND (named OR e1 OR t1 OR e2 OR pure), false) AS t2 FROM c2)
+SELECT q AS query_id, e AS entity_id, round(told + CASE WHEN e1 THEN 20.0::DOUBLE * v / n ELSE 0 END + CASE WHEN t1 THEN 10 * tv ELSE 0 END + CASE WHEN (named OR e1 OR t1) AND -h = h2 THEN 2 ELSE 0 END
++ CASE WHEN e2 THEN 20.0::DOUBLE * p / n ELSE 0 END + CASE WHEN t2 THEN 10 * tp ELSE 0 END + CASE WHEN (named OR e1 OR t1 OR e2 OR t2) AND h = h2 THEN 2 ELSE 0 END, 6) AS score FROM d WHERE named OR e1 OR t1 OR e2 OR t2"""
 
 
 def balance(spark, sf_dir):
@@ -104,13 +139,13 @@ def stoich_diff(spark, sf_dir):
 
 def genes(spark, sf_dir):
     """hits between orders of one customer, adjusted by the parts that both have."""
-    o = table(spark, sf_dir, "orders").where("o_custkey % 25 = 0")
+    o = table(spark, sf_dir, "orders")
     hits = o.select("o_custkey", F.col("o_orderkey").alias("query_id")).join(o.select("o_custkey", F.col("o_orderkey").alias("entity_id")), "o_custkey").where("query_id < entity_id").select("query_id", "entity_id", F.lit(10).alias("score"))
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % 40).alias("gene"))
     return matching.gene_adjusted(hits, line.withColumnRenamed("l_orderkey", "query_id"), line.withColumnRenamed("l_orderkey", "entity_id"))
 
 
-_GENES = """WITH o AS (SELECT * FROM orders WHERE o_custkey % 25 = 0), g AS (SELECT DISTINCT l_orderkey AS k, l_partkey % 40 AS gene FROM lineitem), n AS (SELECT k, count(*) AS n FROM g GROUP BY 1),
+_GENES = """WITH o AS (SELECT * FROM orders), g AS (SELECT DISTINCT l_orderkey AS k, l_partkey % 40 AS gene FROM lineitem), n AS (SELECT k, count(*) AS n FROM g GROUP BY 1),
 h AS (SELECT a.o_orderkey AS q, b.o_orderkey AS e FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey), sh AS (SELECT q, e, count(*) AS s FROM h JOIN g x ON x.k = q JOIN g y ON y.k = e AND y.gene = x.gene GROUP BY 1, 2)
 SELECT h.q AS query_id, h.e AS entity_id, 10 + 10 * coalesce(s, 0) - 5 * (coalesce(a.n, 0) - coalesce(s, 0)) - 5 * (coalesce(b.n, 0) - coalesce(s, 0)) AS score, coalesce(s, 0) AS gene_matches
 FROM h LEFT JOIN sh USING (q, e) LEFT JOIN n a ON a.k = h.q LEFT JOIN n b ON b.k = h.e"""
@@ -137,7 +172,7 @@ def comparison(spark, sf_dir):
 
 
 def records(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0")
+    line = table(spark, sf_dir, "lineitem")
     g = line.select(F.col("l_orderkey").alias("gene"), F.col("l_partkey").cast("string").alias("reaction"))
     m = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").cast("string").alias("reaction"), F.concat(F.lit("ms"), F.col("p_size")).alias("ms_reaction"))
     sp = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("reaction"), F.col("p_brand").alias("compound"))
@@ -179,6 +214,8 @@ QUERIES = {
     "role_search_key": lambda s, d: table(s, d, "documents").select("doc_id", names.role_key(F.substring("text", 1, 1 << 30)).alias("k")).select("doc_id", F.md5("k").alias("key_md5")),
     "identifier_standard": lambda s, d: table(s, d, "part").select("p_partkey", names.standard(F.concat("p_brand", F.lit("_DASH_"), "p_name")).alias("std")),
     "function_split_explode": lambda s, d: table(s, d, "part").select("p_partkey", F.explode(names.functions_of(F.concat("p_name", F.lit(" / "), "p_brand", F.lit("; "), "p_type"))).alias("function")),
+    "compound_name_variants": lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(names.name_variants(named_compound()), "|").alias("variants")),
+    "known_energy": lambda s, d: table(s, d, "supplier").select("s_suppkey", chemistry.known_energy(F.when(F.col("s_suppkey") % 3 == 0, "10000000").when(F.col("s_suppkey") % 3 == 1, "-10000000").otherwise(F.col("s_acctbal").cast("string"))).alias("energy")),
     "ec_prefix": lambda s, d: table(s, d, "part").select("p_partkey", names.ec_prefix(F.concat_ws(".", F.col("p_size") % 6, F.col("p_size") % 11, F.col("p_partkey") % 13, F.col("p_partkey"))).alias("prefix")),
 }
 
@@ -192,7 +229,7 @@ ORACLES = {
     "feature_alias_resolution": "WITH w AS (SELECT s_name AS name FROM supplier UNION SELECT c_mktsegment FROM customer WHERE c_custkey % 9 = 0), a AS (SELECT c_mktsegment AS name, min(c_name) AS i FROM customer GROUP BY 1) SELECT w.name, coalesce(s_name, i) AS feature_id, s_name IS NOT NULL OR i IS NOT NULL AS found FROM w LEFT JOIN (SELECT s_name FROM supplier WHERE s_suppkey % 2 = 0) ON s_name = w.name LEFT JOIN a USING (name)",
     "best_hits_for_features": "WITH h AS (SELECT * FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT o_custkey, count(*) AS n_hits FROM h GROUP BY 1), b AS (SELECT o_custkey, arg_min(o_orderkey, (1 / o_totalprice, o_orderkey)) AS best_hit FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) SELECT c_custkey AS feature_id, n_hits, best_hit, h.o_totalprice AS score FROM customer LEFT JOIN n ON n.o_custkey = c_custkey LEFT JOIN b ON b.o_custkey = c_custkey LEFT JOIN h ON h.o_custkey = c_custkey AND h.o_orderkey = best_hit",
     "model_comparison": "WITH a AS (SELECT DISTINCT l_partkey AS r FROM lineitem WHERE l_returnflag = 'R' AND l_partkey % 5 <> 0), b AS (SELECT DISTINCT l_partkey AS r FROM lineitem WHERE l_returnflag = 'A' AND l_partkey % 4 <> 0) SELECT coalesce(a.r, b.r) AS reaction, CASE WHEN a.r IS NULL THEN 'OtherOnly' WHEN b.r IS NULL THEN 'ModelOnly' ELSE 'Both' END AS status FROM a FULL JOIN b ON a.r = b.r",
-    "annotation_records": "WITH g AS (SELECT l_orderkey AS gene, l_partkey AS r FROM lineitem WHERE l_orderkey % 50 = 0) SELECT DISTINCT gene, 'reaction' AS namespace, CASE WHEN r % 2 = 0 THEN 'ms' || p_size ELSE CAST(r AS VARCHAR) END AS id FROM g LEFT JOIN part ON p_partkey = r UNION SELECT DISTINCT gene, 'compound', p_brand FROM g JOIN part ON p_partkey = r",
+    "annotation_records": "WITH g AS (SELECT l_orderkey AS gene, l_partkey AS r FROM lineitem) SELECT DISTINCT gene, 'reaction' AS namespace, CASE WHEN r % 2 = 0 THEN 'ms' || p_size ELSE CAST(r AS VARCHAR) END AS id FROM g LEFT JOIN part ON p_partkey = r UNION SELECT DISTINCT gene, 'compound', p_brand FROM g JOIN part ON p_partkey = r",
     "alias_index": "SELECT alias, CAST(count(DISTINCT id) AS INTEGER) AS n, min(id) AS first FROM (SELECT c_mktsegment AS alias, c_custkey AS id FROM customer UNION ALL SELECT md5(c_name), c_custkey FROM customer) GROUP BY 1",
     "match_count_frequency": "SELECT n AS match_count, count(*) AS n_rows FROM (SELECT count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) GROUP BY 1",
     "perfect_match": "SELECT query_id, entity_id FROM (SELECT o_custkey AS query_id, o_orderkey AS entity_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 3, o_orderkey % 5 DESC, o_totalprice DESC, (o_orderstatus = 'F') DESC, o_orderkey) AS n FROM orders) WHERE n = 1",
@@ -211,5 +248,7 @@ ORACLES = {
     "role_search_key": r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '\s', '', 'g'), '[\d\-]+\.[\d\-]+\.[\d\-]+\.[\d\-]*\d', '', 'g'), '#.*$', ''), '\(ec:?\)', '', 'g'), '[()\[\],-]', '', 'g')) AS key_md5 FROM documents",
     "identifier_standard": "SELECT p_partkey, regexp_replace(lower(p_brand || p_name), '[^a-z0-9]', '', 'g') AS std FROM part",
     "function_split_explode": "SELECT p_partkey, unnest([p_name, p_brand, p_type]) AS function FROM part",
+    "compound_name_variants": f"SELECT p_partkey, ({list(NAMED.values())})[p_partkey % {len(NAMED)} + 1] AS variants FROM part",
+    "known_energy": "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 2 THEN CAST(s_acctbal AS DOUBLE) END AS energy FROM supplier",
     "ec_prefix": "SELECT p_partkey, (p_size % 6) || '.' || (p_size % 11) || '.' || (p_partkey % 13) AS prefix FROM part",
 }

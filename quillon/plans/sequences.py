@@ -1,4 +1,4 @@
-"""Sequence and genome queries, on DNA that md5 digests of texts spell."""
+"""Sequence and genome queries, on DNA that the bytes of whole texts spell, or digests of names."""
 
 from __future__ import annotations
 
@@ -17,12 +17,20 @@ def dna(column):
     return F.translate(F.md5(column), HEX, BASES)
 
 
+def spelt(column):
+    """DNA as long as two bases a byte."""
+    return F.translate(F.hex(column), HEX.upper(), BASES)
+
+
+_SPELT = f"translate(hex(encode(text)), '{HEX.upper()}', '{BASES}')"
+
+
 def contigs(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("source").alias("genome_id"), F.concat(F.lit("c"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("contig_id"), F.concat(dna("text"), F.when(F.col("doc_id") % 3 == 0, "NN").otherwise("")).alias("sequence"))
+    return d.select(F.col("source").alias("genome_id"), F.concat(F.lit("c"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("contig_id"), F.concat(spelt("text"), F.when(F.col("doc_id") % 3 == 0, "NN").otherwise("")).alias("sequence"))
 
 
-_CONTIGS = f"ct AS (SELECT source AS genome_id, 'c' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS contig_id, translate(md5(text), '{HEX}', '{BASES}') || CASE WHEN doc_id % 3 = 0 THEN 'NN' ELSE '' END AS sequence FROM documents)"
+_CONTIGS = f"ct AS (SELECT source AS genome_id, 'c' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS contig_id, {_SPELT} || CASE WHEN doc_id % 3 = 0 THEN 'NN' ELSE '' END AS sequence FROM documents)"
 _CODONS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in sequences.CODONS.items()) + "}"
 
 
@@ -78,9 +86,9 @@ def placed_ids(spark, sf_dir):
 
 
 QUERIES = {
-    "seq_revcomp": lambda s, d: table(s, d, "documents").select("doc_id", sequences.reverse_complement(dna("text")).alias("rc")),
-    "seq_translate": lambda s, d: table(s, d, "documents").select("doc_id", sequences.translate(F.concat(dna("text"), F.lit("N"))).alias("protein")),
-    "seq_gc": lambda s, d: table(s, d, "documents").select("doc_id", F.round(sequences.gc_fraction(dna("text")), 6).alias("gc")),
+    "seq_revcomp": lambda s, d: table(s, d, "documents").select("doc_id", sequences.reverse_complement(spelt("text")).alias("rc")),
+    "seq_translate": lambda s, d: table(s, d, "documents").select("doc_id", sequences.translate(F.concat(spelt("text"), F.lit("N"))).alias("protein")),
+    "seq_gc": lambda s, d: table(s, d, "documents").select("doc_id", F.round(sequences.gc_fraction(spelt("text")), 6).alias("gc")),
     "contig_stats": lambda s, d: genomes.contig_stats(contigs(s, d)).select("contig_id", "length", F.round("gc", 6).alias("gc"), "md5"),
     "assembly_stats": lambda s, d: genomes.assembly_stats(contigs(s, d)).select("genome_id", "n_contigs", "size", "n_a", "n_c", "n_g", "n_t", "n_n", "md5", F.round("gc", 6).alias("gc")),
     "genome_digest": digest,
@@ -91,15 +99,15 @@ QUERIES = {
     "genome_validation": validation,
     "fasta_wrap": lambda s, d: sinks.fasta_lines(table(s, d, "supplier").select(F.col("s_name").alias("id"), F.concat(dna("s_name"), dna(F.col("s_suppkey").cast("string")), F.repeat(F.lit("ACGT"), 12)).alias("sequence"))),
     "id_parse": placed_ids,
-    "alphabet_guard": lambda s, d: table(s, d, "documents").select("doc_id", sequences.off_alphabet(F.concat(dna("text"), F.repeat(F.lit("X"), (F.col("doc_id") % 9).cast("int"))), "ACGT").alias("off")),
+    "alphabet_guard": lambda s, d: table(s, d, "documents").select("doc_id", sequences.off_alphabet(F.concat(spelt("text"), F.repeat(F.lit("X"), (F.col("doc_id") % 9).cast("int"))), "ACGT").alias("off")),
     "accession_extract": lambda s, d: table(s, d, "part").select("p_partkey", sequences.accession(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("x GCF_"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"), F.lit(".1 y"))).otherwise(F.col("p_name"))).alias("accession")),
     "fold_colours": lambda s, d: table(s, d, "supplier").select("s_suppkey", chemistry.fold_colour(F.when(F.col("s_suppkey") % 2 == 0, F.lit(4.0)).when(F.col("s_suppkey") % 3 == 0, F.lit(0.1)).otherwise(1.0)).alias("colour")),
 }
 
 ORACLES = {
-    "seq_revcomp": f"SELECT doc_id, {_RC.format(f'''translate(md5(text), '{HEX}', '{BASES}')''')} AS rc FROM documents",
-    "seq_translate": f"WITH t AS (SELECT doc_id, translate(md5(text), '{HEX}', '{BASES}') || 'N' AS s FROM documents) SELECT doc_id, list_aggregate(list_transform(range(1, length(s) - 1, 3), lambda i: coalesce({_CODONS}[s[i:i+2]], 'X')), 'string_agg', '') AS protein FROM t",
-    "seq_gc": f"WITH t AS (SELECT doc_id, translate(md5(text), '{HEX}', '{BASES}') AS s FROM documents) SELECT doc_id, round(length(regexp_replace(s, '[AT]', '', 'g')) / 32.0::DOUBLE, 6) AS gc FROM t",
+    "seq_revcomp": f"SELECT doc_id, {_RC.format(f'''{_SPELT}''')} AS rc FROM documents",
+    "seq_translate": f"WITH t AS (SELECT doc_id, {_SPELT} || 'N' AS s FROM documents) SELECT doc_id, list_aggregate(list_transform(range(1, length(s) - 1, 3), lambda i: coalesce({_CODONS}[s[i:i+2]], 'X')), 'string_agg', '') AS protein FROM t",
+    "seq_gc": f"WITH t AS (SELECT doc_id, {_SPELT} AS s FROM documents) SELECT doc_id, round(length(regexp_replace(s, '[AT]', '', 'g')) / greatest(length(s), 1)::DOUBLE, 6) AS gc FROM t",
     "contig_stats": f"WITH {_CONTIGS} SELECT contig_id, CAST(length(sequence) AS INTEGER) AS length, round(length(regexp_replace(sequence, '[^GC]', '', 'g')) / CAST(length(sequence) AS DOUBLE), 6) AS gc, md5(sequence) AS md5 FROM ct",
     "assembly_stats": f"WITH {_CONTIGS} SELECT genome_id, count(*) AS n_contigs, CAST(sum(length(sequence)) AS BIGINT) AS size, "
     + ", ".join(f"CAST(sum(length(regexp_replace(sequence, '[^{b}]', '', 'g'))) AS BIGINT) AS n_{b.lower()}" for b in "ACGTN")
@@ -112,7 +120,7 @@ ORACLES = {
     "genome_validation": f"WITH {_VALID} SELECT genome_id, message, count(*) AS n FROM m GROUP BY 1, 2",
     "fasta_wrap": f"WITH t AS (SELECT s_name, translate(md5(s_name), '{HEX}', '{BASES}') || translate(md5(CAST(s_suppkey AS VARCHAR)), '{HEX}', '{BASES}') || repeat('ACGT', 12) AS s FROM supplier) SELECT '>' || s_name || chr(10) || s[1:80] || chr(10) || s[81:] AS value FROM t",
     "id_parse": "SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 THEN c_name ELSE upper(c_mktsegment) END AS base, CASE c_custkey % 3 WHEN 0 THEN 'e' WHEN 1 THEN 'p' ELSE 'c' END AS compartment, CASE c_custkey % 3 WHEN 1 THEN '1' ELSE '0' END AS index FROM customer",
-    "alphabet_guard": "SELECT doc_id, doc_id % 9 > 0.1 * (32 + doc_id % 9) AS off FROM documents",
+    "alphabet_guard": f"SELECT doc_id, doc_id % 9 > 0.1 * (length({_SPELT}) + doc_id % 9) AS off FROM documents",
     "accession_extract": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'GCF_' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') || '.1' END AS accession FROM part",
     "fold_colours": "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN '#FF0000' WHEN s_suppkey % 3 = 0 THEN '#0000FF' ELSE '#FFFFFF' END AS colour FROM supplier",
 }

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.sources.sinks import stored
+
 DEFAULT_LIMIT, PAGE = 100, 1_000
 
 
@@ -26,8 +28,10 @@ def query(spark: SparkSession, sql: str, limit: int | None = None, offset: int =
 
 
 def paged(df: DataFrame, order: Sequence[str], size: int = PAGE, pages: int | None = None, buckets: int = 64) -> DataFrame:
-    """df with its page number in a total order. Rows are numbered within ranges of the order, and ranges get offsets, so no task sorts everything."""
-    ranged = df.repartitionByRange(buckets, *order).withColumn("_range", F.spark_partition_id())
+    """df with its page number in a total order. Rows are numbered within ranges of the order, and ranges get offsets, so no task sorts everything.
+
+    The ranges are drawn from a sample, so rows are stored with theirs once, and both counts and numbers read that table."""
+    ranged = stored(df.repartitionByRange(buckets, *order).withColumn("_range", F.spark_partition_id()))
     own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over `buckets` rows
     offsets = ranged.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))

@@ -36,10 +36,11 @@ def _expiring(seconds: int):
             state.remove()
             yield pd.DataFrame({"job_id": [key[0]]})
             return
-        last = max((rows["at"].max() for rows in batches), default=None)
+        last = max((int(rows["at"].max().timestamp() * 1000) for rows in batches if len(rows)), default=None)
         if last is not None:
-            state.update((True,))
-            state.setTimeoutTimestamp(int(last.timestamp() * 1000) + seconds * 1000)
+            last = max(last, state.get[0]) if state.exists else last  # an older batch doesn't shorten the time
+            state.update((last,))
+            state.setTimeoutTimestamp(max(last + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"job_id": pd.Series([], dtype="object")})
 
     return run
@@ -48,7 +49,7 @@ def _expiring(seconds: int):
 def expired(stream: DataFrame, seconds: int, late: str = "0 seconds") -> DataFrame:
     """Ids of jobs of which nothing was heard for `seconds` of event time."""
     source = stream.withWatermark("at", late)
-    return source.groupBy("job_id").applyInPandasWithState(_expiring(seconds), "job_id string", "seen boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return source.groupBy("job_id").applyInPandasWithState(_expiring(seconds), "job_id string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def activity(log: DataFrame, late: str | None = None) -> DataFrame:

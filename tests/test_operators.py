@@ -113,6 +113,32 @@ def test_matching_by_structures_and_variants(spark):
     assert rows(matching.variants(named, matching.aliases(e)), "entity_id", "score") == [("c1", 10)]
 
 
+def test_formula_hits_need_hydrogen_on_both_sides(spark):
+    f = spark.createDataFrame([("co2", "CO2"), ("ch2o2", "CH2O2")], "entity_id string, formula string")
+    q = spark.createDataFrame([("a", [], [], "CO2"), ("b", [], [], "CH2O2")], "query_id string, identifiers array<string>, structures array<string>, formula string")
+    none = spark.createDataFrame([], "entity_id string, alias_std string, alias_type string")
+    assert rows(matching.compounds(q, none, None, f), "query_id", "entity_id", "score") == [("a", "ch2o2", 2), ("a", "co2", 2), ("b", "ch2o2", 4), ("b", "co2", 2)]
+
+
+def test_reaction_evidence(spark):
+    """Each direction adds what it finds; identifiers count once; only unknown EC numbers are tried by their first levels."""
+    q = [("q", "a", -1.0, None), ("q", "b", 1.0, None), ("t", "x", 0.0, -1.0)]
+    r = [("same", "a", -1.0, None), ("same", "b", 1.0, None), ("back", "a", 1.0, None), ("back", "b", -1.0, None), ("half", "a", -1.0, None), ("half", "c", 1.0, None), ("moves", "x", 0.0, 1.0)]
+    stoich = spark.createDataFrame(q, "query_id string, compound string, coefficient double, transport double")
+    reference = spark.createDataFrame(r, "entity_id string, compound string, coefficient double, transport double")
+    named = spark.createDataFrame([("q", "half", 3)], "query_id string, entity_id string, n int")
+    ecs = spark.createDataFrame([("q", "1.1.1.1"), ("t", "2.2.2.9")], "query_id string, ec string")
+    theirs = spark.createDataFrame([("same", "1.1.1.1"), ("half", "1.1.1.2"), ("back", "2.2.2.2")], "entity_id string, ec string")
+    protons = spark.createDataFrame([("q", 1.0)], "query_id string, protons double")
+    held = spark.createDataFrame([("same", 1.0), ("back", -1.0)], "entity_id string, protons double")
+    got = rows(matching.reactions(stoich, reference, named, ecs, theirs, protons=protons, reference_protons=held), "query_id", "entity_id", "score")
+    # moves: a zero coefficient agrees in both directions, its one compound is moved back
+    assert got == [("q", "back", 22.0), ("q", "half", 20.0), ("q", "same", 30.0), ("t", "back", 6.0), ("t", "moves", 50.0)]
+    mapped = spark.createDataFrame([("a", "A"), ("b", "B")], "compound string, entity string")
+    other = spark.createDataFrame([("r", "A", -1.0), ("r", "B", 1.0)], "entity_id string, compound string, coefficient double")
+    assert rows(matching.reactions(stoich, other, named.where("false"), compound_hits=mapped), "query_id", "entity_id", "score") == [("q", "r", 20.0)]
+
+
 def test_renaming_never_merges(spark):
     ids = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "id string, at int")
     mapping = spark.createDataFrame([("a", "m1"), ("b", "m1"), ("c", "b")], "id string, new_id string")

@@ -121,6 +121,10 @@ def test_lake_envelope_pages_and_browse(spark):
     assert lake.paginate(spark, "SELECT id FROM numbers ORDER BY id", 10, 2)["row_count"] == 20
     got = rows(lake.paged(spark.table("numbers"), ["id"], 10), "id", "page")
     assert got == [(i, i // 10) for i in range(25)]
+    many = spark.range(400_000).select((F.col("id") * 7919 % 400_009).alias("id"), F.rand(3).alias("other"))
+    pages = lake.paged(many, ["id"], 1000).groupBy("page").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).orderBy("page").collect()
+    assert [r["page"] for r in pages] == list(range(400)) and {r["n"] for r in pages} == {1000}
+    assert all(a["high"] < b["low"] for a, b in zip(pages, pages[1:]))
     spark.sql("CREATE DATABASE IF NOT EXISTS shelf")
     spark.range(3).write.mode("overwrite").saveAsTable("shelf.t")
     assert lake.alive(spark) and lake.schema(spark, "shelf", True)["shelf"]["t"] == [{"name": "id", "type": "bigint"}]
