@@ -30,9 +30,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where the setting is missing, as in local tests."""
+    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where a local session lacks the setting, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -153,11 +155,19 @@ def hex_sha(text: str | bytes) -> str:
 def train_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
     """At most `bound` labelled rows whose crc32(doc_id as text) mod 5 isn't 0, in an order that a hash of doc_id fixes: (doc_id, text, label).
 
-    Rows with a null label or null doc_id don't take part; of several labels for a document the largest counts."""
+    Rows with a null label or null doc_id don't take part; of several labels for a document the largest counts, of
+    several texts the one of the smallest hash."""
     own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
     own = own.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     picked = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return one_text(docs, picked.select("doc_id")).join(F.broadcast(picked), "doc_id")
+
+
+def one_text(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """(doc_id, text), one row for each of a bounded table of ids: of several texts the one of the smallest hash."""
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked.distinct()), "doc_id")
+    least = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+    return least.select("doc_id", F.col("least.text").alias("text"))
 
 
 def held_out() -> "F.Column":

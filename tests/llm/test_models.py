@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from quillon.llm import pii, quality, toxicity
+from quillon.llm import common, pii, quality, toxicity
 
 
 def test_toxicity_held_out(spark):
@@ -65,3 +65,36 @@ def test_boosted_trees_learn_and_add(spark):
     text = "write to a@b.cc or +1 (319) 555-5132"
     base, found = pii.detect(text, models)
     assert set(base) <= set(found) and [k for k, _, _ in base] == ["email", "phone"]
+
+
+def test_disguised_data_is_found_and_lookalikes_are_left(spark):
+    """On documents that the fit hasn't read: most disguised spans are added, hardly any invalid ones, none in untouched texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    models = pii.learn(docs)
+    assert set(models) == set(pii.KINDS)
+    read = {r[0] for r in docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(pii.FIT_DOCUMENTS).collect()}
+    told = {1: [0, 0], 0: [0, 0]}
+    for r in docs.where("text is not null").select("doc_id", "text").collect():
+        if r["doc_id"] in read:
+            continue
+        found = pii.base(r["text"])
+        base, all_ = pii.detect(r["text"], models)
+        assert base == all_
+        for kind, spans in found.items():
+            for a, b in spans:
+                for label, bodies in ((1, pii.disguised(kind, r["text"][a:b])), (0, pii.invalid(kind, r["text"][a:b]))):
+                    for body in bodies:
+                        near = r["text"][max(0, a - 40) : a] + body + r["text"][b : b + 40]
+                        base, all_ = pii.detect(near, models)
+                        added = [c for c in all_ if c not in base and c[1] < a - max(0, a - 40) + len(body) and c[2] > a - max(0, a - 40)]
+                        told[label][0] += 1
+                        told[label][1] += bool(added) if label == 0 else bool(added) or bool(base)
+    assert told[1][1] >= 0.9 * told[1][0] and told[0][1] <= 0.02 * told[0][0], told
+
+
+def test_fit_is_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(i % 7 + 1, f"text {i}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 8)] * 3, "doc_id long, toxic int")
+    for bound in (2, 10):
+        rows = common.train_rows(docs, labels, "toxic", bound).collect()
+        assert 0 < len(rows) <= bound and len({r["doc_id"] for r in rows}) == len(rows)
