@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 
 def _largest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row of each key: the largest by all columns in order, as text."""
+    """One row of each key: the largest by all columns in order (maps as text)."""
     rest = [c for c in rows.columns if c not in keys]
     if not rest:
         return rows.distinct()
-    order = F.struct(*[F.to_json(F.struct(c)).alias(c) for c in rest])
+    order = F.struct(*[F.to_json(F.col(c)).alias(c) if "map<" in rows.schema[c].dataType.simpleString() else F.col(c) for c in rest])
     picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row"))
     return picked.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in rows.columns])
 

@@ -10,15 +10,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    from quillon.plans import catalog, extras, fluxes, matching, ranking, sequences, vectors
+    from quillon.plans import catalog, extras, fluxes, matching, ranking, records, sequences, vectors
 
-    return {k: v for module in (vectors, catalog, ranking, matching, fluxes, sequences, extras) for k, v in module.QUERIES.items()}
+    return {k: v for module in (vectors, catalog, ranking, matching, fluxes, sequences, records, extras) for k, v in module.QUERIES.items()}
 
 
 def oracles() -> dict[str, str]:
-    from quillon.plans import catalog, extras, fluxes, matching, ranking, sequences, vectors
+    from quillon.plans import catalog, extras, fluxes, matching, ranking, records, sequences, vectors
 
-    return {k: v for module in (vectors, catalog, ranking, matching, fluxes, sequences, extras) for k, v in module.ORACLES.items()}
+    return {k: v for module in (vectors, catalog, ranking, matching, fluxes, sequences, records, extras) for k, v in module.ORACLES.items()}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
