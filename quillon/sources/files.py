@@ -85,12 +85,13 @@ def gff(spark: SparkSession, path: str, contigs: DataFrame) -> DataFrame:
 
     The id is ID, else locus_tag, else Name, else a running number per type; repeats get _2, _3, ...; a parent counts
     only if it is a gene of an earlier line."""
+    from quillon.operators.ranking import running
+
     a = lambda k: F.nullif(F.try_element_at("attributes", F.lit(k)), F.lit(""))
     lines = _gff_lines(spark, path, 8).where(F.col("type").isin(*GFF_TYPES)).join(contigs.select(F.col("id").alias("contig")).distinct(), "contig", "left_semi")
-    running = F.row_number().over(Window.partitionBy("type").orderBy("at"))
-    named = lines.withColumn("raw", F.coalesce(a("ID"), a("locus_tag"), a("Name"), F.concat_ws("_", "type", running.cast("string"))))
-    n = F.row_number().over(Window.partitionBy("raw").orderBy("at"))
-    unique = named.withColumn("id", F.when(n > 1, F.concat_ws("_", "raw", n.cast("string"))).otherwise(F.col("raw"))).withColumn("wanted", a("Parent"))
+    named = running(lines, ["type"], "at", "_n").withColumn("raw", F.coalesce(a("ID"), a("locus_tag"), a("Name"), F.concat_ws("_", "type", F.col("_n").cast("string")))).drop("_n")
+    n = F.col("_n")
+    unique = running(named, ["raw"], "at", "_n").withColumn("id", F.when(n > 1, F.concat_ws("_", "raw", n.cast("string"))).otherwise(F.col("raw"))).drop("_n").withColumn("wanted", a("Parent"))
     genes = unique.where("type = 'gene'").select(F.col("raw").alias("wanted"), F.col("at").alias("gene_at"), F.col("id").alias("gene"))
     earlier = unique.select("at", "wanted").join(genes, "wanted").where("gene_at < at").groupBy("at").agg(F.max_by("gene", "gene_at").alias("parent"))
     return unique.join(earlier, "at", "left").select("id", "type", "contig", "start", "end", "strand", "parent", "attributes", "at")
