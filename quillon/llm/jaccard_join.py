@@ -209,8 +209,7 @@ def _emit_elements(n: int):
     def run(batches):
         for rows, data, offsets in common.steps(batches):
             found = [t for t in sets_of(data, offsets, n) if len(t)]
-            for batch in _pieces(found, [class_of(t) for t in found]):
-                yield batch
+            yield from _pieces(found, [class_of(t) for t in found])
 
     return run
 
