@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.llm import common
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Stretches, pieces and pairs after which a generation of the memory ends (some 60 MB each).
-REMEMBERED = 200_000
+#: Stretches and pieces, and twice as many pairs, after which a generation of the memory ends (some 25 MB each); a task's end clears it.
+REMEMBERED = 70_000
 #: Characters of the longest stretch or piece that is remembered.
 SHORT = 64
 #: Characters of text that are encoded together.
-STEP_CHARS = 1 << 20
+STEP_CHARS = 1 << 19
 _NEVER = 1 << 60
 
 
@@ -92,7 +92,11 @@ class Encoder:
                     self.merges[left << 32 | right] = rank
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.edges: tuple[dict, dict] = ({}, {})
-        self.fits, self.pieces, self.stretches = Memory(4 * remembered), Memory(remembered), Memory(remembered)
+        self.remembered = remembered
+        self.forget()
+
+    def forget(self) -> None:
+        self.fits, self.pieces, self.stretches = Memory(2 * self.remembered), Memory(self.remembered), Memory(self.remembered)
 
     def halves_of(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a byte, and for a token that no merges make."""
@@ -302,6 +306,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
                     ids.append([int(i) for f in found for i in f[1].split(b",")])
                     decoded.append(b"".join([f[2] for f in found]))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
+        own.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
@@ -319,6 +324,7 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str = public_toke
                     ids.append(hashlib.sha256(b",".join([f[1] for f in found])).hexdigest())
                     decoded.append(hashlib.sha256(b"".join([f[2] for f in found])).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
