@@ -157,7 +157,8 @@ def upgraded_aliases(features: DataFrame) -> DataFrame:
 
 
 def annotation_table(features: DataFrame, terms: DataFrame, ontologies: list[str]) -> DataFrame:
-    """Features with one column of terms per ontology, and an end one past their last base."""
+    """Features with one column of terms per ontology, empty where there are none, and an end one past their last base."""
     wide = terms.groupBy(F.col("gene").alias("id")).pivot("ontology", ontologies).agg(F.array_join(F.array_sort(F.collect_set("term")), ";"))
     renamed = wide.select("id", *[F.col(f"`{o}`").alias(f"Annotation:{o}") for o in ontologies])
-    return features.withColumn("end", F.col("start") + F.col("length")).join(renamed, "id", "left")
+    joined = features.withColumn("end", F.col("start") + F.col("length")).join(renamed, "id", "left")
+    return joined.withColumns({f"Annotation:{o}": F.coalesce(F.col(f"`Annotation:{o}`"), F.lit("")) for o in ontologies})

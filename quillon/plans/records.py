@@ -67,9 +67,10 @@ def upgraded(spark, sf_dir):
 
 
 def annotated(spark, sf_dir):
+    """Parts as features; as in SQL, null where an ontology has no terms."""
     f = part(spark, sf_dir).select(F.col("p_partkey").alias("id"), F.lit(10).alias("start"), F.col("p_size").alias("length"))
     out = genomes.annotation_table(f, terms(spark, sf_dir), ["A", "N", "R"])
-    return out.select("id", "end", *[F.col(f"`Annotation:{o}`").alias(f"terms_{o.lower()}") for o in "ANR"])
+    return out.select("id", "end", *[F.nullif(F.col(f"`Annotation:{o}`"), F.lit("")).alias(f"terms_{o.lower()}") for o in "ANR"])
 
 
 def gene_status(spark, sf_dir):
