@@ -10,8 +10,7 @@ Whether a border holds is read off two time lines. Merges go by rank, so while a
 symbol after another, each from its own rank to the next one's, and likewise the left edge. The border falls if at some
 time the two symbols that meet there merge, before either side's next merge (of equal ranks the left one goes first).
 
-No match of the pattern runs from a visible character into white space, so a text is cut in front of blanks first, and
-what a stretch between blanks encodes to is remembered, as are pieces and pairs: in two generations, of which the older
+What a piece encodes to is remembered, and whether a pair of tokens is compatible: in two generations, of which the older
 goes when the younger is full. Results don't depend on what is remembered.
 
 Defined results: null and empty texts have no tokens; decoding gives the bytes back; other columns aren't read.
@@ -27,18 +26,19 @@ import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import common
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Stretches and pieces, and twice as many pairs, after which a generation of the memory ends (some 25 MB each); a task's end clears it.
-REMEMBERED = 70_000
-#: Characters of the longest stretch or piece that is remembered.
+#: Pieces, and as many pairs, after which a generation of the memory ends; a task's end clears it.
+REMEMBERED = 150_000
+#: Characters of the longest piece that is remembered.
 SHORT = 64
-#: Characters of text that are encoded together.
-STEP_CHARS = 1 << 19
+#: Bytes of text that are encoded together.
+STEP = 1 << 19
 _NEVER = 1 << 60
 
 
@@ -74,7 +74,7 @@ class Encoder:
         for body, rank in self.ranks.items():
             self.bytes[rank] = body
         self.names = [b"%d" % i for i in range(size)]
-        self.split, self.solid = regex.compile(pattern).findall, regex.compile(r"\S").match
+        self.split = regex.compile(pattern).findall
         self.machine = ahocorasick.Automaton()
         for token, rank in self.ranks.items():
             self.machine.add_word(token.decode("latin-1"), rank)
@@ -96,7 +96,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.fits, self.pieces, self.stretches = Memory(2 * self.remembered), Memory(self.remembered), Memory(self.remembered)
+        self.fits, self.pieces = Memory(self.remembered), Memory(self.remembered)
 
     def halves_of(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a byte, and for a token that no merges make."""
@@ -162,10 +162,12 @@ class Encoder:
                 return self.first[prefix]
         raise ValueError(f"no token for {body!r}")
 
-    def backtrack(self, latin: str) -> list[int]:
-        """Tokens whose neighbours are all compatible, longest first; failed: ends that didn't lead on."""
+    def backtrack(self, latin: str, out: list[int], token: int = -1) -> list[int]:
+        """Tokens whose neighbours are all compatible, longest first; failed: ends that didn't lead on.
+
+        out: longest matches at the start that are compatible, changed here; token: the longest match that follows."""
         sizes, shorter, fits, first, prefix, longest = self.sizes, self.shorter, self.fits.young, self.first, self.machine.longest_prefix, self.longest
-        size, failed, out, at, token = len(latin), set(), [], 0, -1
+        size, failed, at = len(latin), set(), sum([sizes[t] for t in out])
         while at < size:
             if token < 0:
                 ahead = latin[at : at + longest]
@@ -204,67 +206,25 @@ class Encoder:
         pairs, which = np.unique(tokens[inside] << 32 | tokens[inside + 1], return_inverse=True)
         fits, holds = self.fits.young, self.holds
         good = np.array([fits[p] if p in fits else holds(p) for p in pairs.tolist()], bool)
-        again = np.zeros(len(pieces), bool)
-        again[owner[inside[~good[which]]]] = True
+        wrong = inside[~good[which]]
+        bad, at = np.unique(owner[wrong], return_index=True)
         cuts = np.searchsorted(owner, np.arange(len(pieces) + 1)).tolist()
-        ids, names, body, out = tokens.tolist(), self.names, self.bytes, []
-        for k, bad in enumerate(again.tolist()):
-            found = self.backtrack(latins[k]) if bad else ids[cuts[k] : cuts[k + 1]]
-            out.append((len(found), b",".join([names[i] for i in found]), b"".join([body[i] for i in found])))
-        return out
+        ids, names, body = tokens.tolist(), self.names, self.bytes
+        found = [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+        for k, left in zip(bad.tolist(), wrong[at].tolist()):
+            found[k] = self.backtrack(latins[k], ids[cuts[k] : left + 1], ids[left + 1])
+        return [(len(f), b",".join([names[i] for i in f]), b"".join([body[i] for i in f])) for f in found]
 
-    def _encoded(self, stretches: list[str]) -> list[tuple[int, bytes, bytes]]:
-        """What each stretch of text encodes to."""
-        cut = list(map(self.split, stretches))
+    def encode(self, texts: list[str]) -> list[list[tuple[int, bytes, bytes]]]:
+        """Per text, per piece: number of tokens, their ids as text, their bytes."""
+        self.fits.turn()
+        self.pieces.turn()
+        cut = list(map(self.split, texts))
         fresh = self.pieces.missing(set(chain.from_iterable(cut)))
         known = self.pieces.young
         if fresh:
             known.update(zip(fresh, self.learn(fresh)))
-        out = []
-        for pieces in cut:
-            if len(pieces) == 1:
-                out.append(known[pieces[0]])
-            else:
-                found = [known[p] for p in pieces]
-                out.append((sum([f[0] for f in found]), b",".join([f[1] for f in found]), b"".join([f[2] for f in found])))
-        for p in fresh:
-            if len(p) > SHORT:
-                del known[p]
-        return out
-
-    def _stretched(self, text: str) -> list[str]:
-        """text cut where a blank follows a visible character, without those blanks."""
-        parts = text.split(" ")
-        out = [parts[0]]
-        for part in parts[1:]:
-            if out[-1] and self.solid(out[-1][-1]):
-                out.append(part)
-            else:
-                out[-1] += " " + part
-        return out
-
-    def encode(self, texts: list[str]) -> list[list[tuple[int, bytes, bytes]]]:
-        """Per text, per stretch: number of tokens, their ids as text, their bytes."""
-        for memory in (self.fits, self.pieces, self.stretches):
-            memory.turn()
-        cut = [t.split(" ") for t in texts]
-        rest = set(chain.from_iterable([parts[1:] for parts in cut]))
-        open_ = {c for c in {p[-1:] for p in rest} if not c or not self.solid(c)}
-        if open_:  # white space after white space belongs to what follows
-            odd = {p for p in rest if p[-1:] in open_}
-            for k, parts in enumerate(cut):
-                if not odd.isdisjoint(parts):
-                    cut[k] = self._stretched(texts[k])
-            rest = set(chain.from_iterable([parts[1:] for parts in cut]))
-        fresh = self.stretches.missing(rest)
-        heads = list({parts[0] for parts in cut if parts[0]})
-        found = self._encoded([*heads, *[" " + p for p in fresh]])
-        lead, known = dict(zip(heads, found)), self.stretches.young
-        known.update(zip(fresh, found[len(heads) :]))
-        out = []
-        for parts in cut:
-            held = list(map(known.__getitem__, parts[1:]))
-            out.append([lead[parts[0]], *held] if parts[0] else held)
+        out = [list(map(known.__getitem__, pieces)) for pieces in cut]
         for p in fresh:
             if len(p) > SHORT:
                 del known[p]
@@ -280,14 +240,13 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _encoders[path, pattern]
 
 
-def _chunks(texts: list[str]):
+def _chunks(texts: pa.Array):
+    """Texts of about STEP bytes at a time, as strings; nulls as empty ones."""
+    sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(texts):
-        end, size = at + 1, len(texts[at])
-        while end < len(texts) and size + len(texts[end]) <= STEP_CHARS:
-            size += len(texts[end])
-            end += 1
-        yield texts[at:end]
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + STEP, "right")))
+        yield [t or "" for t in texts.slice(at, end - at).to_pylist()]
         at = end
 
 
@@ -301,14 +260,14 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
         own = encoder(path or public_tokenizers.path(VOCABULARY), pattern)
         for batch in batches:
             ids, decoded = [], []
-            for texts in _chunks([t or "" for t in batch.column(1).to_pylist()]):
+            for texts in _chunks(batch.column(1)):
                 for found in own.encode(texts):
                     ids.append([int(i) for f in found for i in f[1].split(b",")])
                     decoded.append(b"".join([f[2] for f in found]))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
         own.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return docs.select("doc_id", "text").mapInArrow(common.frugal(run), "doc_id long, ids array<int>, decoded binary")
 
 
 def digests(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -318,7 +277,7 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str = public_toke
         own = encoder(path or public_tokenizers.path(VOCABULARY), pattern)
         for batch in batches:
             counts, ids, decoded = [], [], []
-            for texts in _chunks([t or "" for t in batch.column(1).to_pylist()]):
+            for texts in _chunks(batch.column(1)):
                 for found in own.encode(texts):
                     counts.append(sum([f[0] for f in found]))
                     ids.append(hashlib.sha256(b",".join([f[1] for f in found])).hexdigest())
@@ -326,7 +285,7 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str = public_toke
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         own.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(common.frugal(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -398,6 +398,31 @@ def test_bpe_forgetting_changes_nothing(reference, monkeypatch, data, spark):
         assert [int(i) for p in own.encode([t])[0] for i in p[1].split(b",")] == reference.encode_ordinary(t)
 
 
+def test_bpe_remembers_pieces_that_come_again():
+    own = bpe.Encoder(public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN)
+    learnt, plain = [], own.learn
+    own.learn = lambda pieces: learnt.append(len(pieces)) or plain(pieces)
+    steps = [" ".join(f"x{chr(97 + k)}{''.join(chr(97 + int(c)) for c in str(i))}" for i in range(6_000)) for k in range(20)]
+    first = [own.encode([t]) for t in steps]
+    assert sum(learnt) == 120_000
+    assert [own.encode([t]) for t in steps] == first and sum(learnt) == 120_000
+
+
+def test_workers_give_memory_back():
+    rss = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+    pinned = []
+
+    def hungry(batches):
+        held = [bytes(2_000) for _ in range(60_000)]
+        pinned.append(bytearray(2_000))  # above all the others in the heap
+        yield from batches
+        assert rss() > before + 80_000_000 and held
+
+    before = rss()
+    assert list(common.frugal(hungry)(iter([1, 2]))) == [1, 2]
+    assert rss() < before + 40_000_000
+
+
 def test_bpe_white_space(reference):
     own = bpe.Encoder(public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN)
     for t in ("", " ", "  a", "a  b", "a \n b\n", "\n", "x\t y ", "'s 't it's I'll  ", "a b c\x1c d", "1 2  3", "　 x", "\u00a0 y", "tab\there  and \r\n there "):
