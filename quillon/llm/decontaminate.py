@@ -233,7 +233,7 @@ def _marked(rows: DataFrame, benchmark: DataFrame, window: int, block_bytes: int
     while block is not None:
         after = next(blocks, None)
         shared = spark.sparkContext.broadcast((block, window))  # at most block_bytes and one item
-        out = out.mapInArrow(_marker(shared, None if after else finish), out.schema if after else schema)
+        out = out.mapInArrow(common.frugal(_marker(shared, None if after else finish)), out.schema if after else schema)
         block = after
     return out
 

@@ -277,7 +277,7 @@ def within(ids: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, n: int = N) -> DataFrame:
     """Per row: doc_id, n_shingles, class (of equal sets) and rep (the class's smallest doc_id; itself for empty sets)."""
-    found = common.stored(docs.select("doc_id", "text").mapInArrow(_emit_sets(n), "doc_id long, n_shingles long, class long"), "sets")
+    found = common.stored(docs.select("doc_id", "text").mapInArrow(common.frugal(_emit_sets(n)), "doc_id long, n_shingles long, class long"), "sets")
     reps = found.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"))
     joined = found.join(reps, "class", "left")
     return common.stored(joined.select("doc_id", "n_shingles", "class", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "classes")
@@ -298,13 +298,13 @@ def representatives(docs: DataFrame, of: DataFrame) -> DataFrame:
 
 def candidates(reps: DataFrame, of: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataFrame:
     """(class, n, tokens): the shared elements of the classes that may have a link."""
-    signatures = reps.mapInArrow(_emit_signatures(n, threshold), "key long, class long")
+    signatures = reps.mapInArrow(common.frugal(_emit_signatures(n, threshold)), "key long, class long")
     # a key holds a class once, and a class spreads over as many keys as it may differ by: no key holds more than a small share of the rows
     shared = signatures.withColumn("classes", F.count("*").over(Window.partitionBy("key"))).where("classes > 1").select("class").distinct()
     shared = common.stored(shared, "sharing")
     ids = of.where("n_shingles > 0").join(within(shared), "class", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
     ids = common.stored(ids, "sharing")
-    elements = reps.join(within(ids), "doc_id", "left_semi").mapInArrow(_emit_elements(n), "key long, class long")
+    elements = reps.join(within(ids), "doc_id", "left_semi").mapInArrow(common.frugal(_emit_elements(n)), "key long, class long")
     held = elements.withColumn("classes", F.count("*").over(Window.partitionBy("key"))).where("classes > 1").select("key", "class")
     tokens = held.groupBy("class").agg(F.collect_set("key").alias("tokens"))
     sizes = of.where("n_shingles > 0").groupBy("class").agg(F.min("n_shingles").alias("n"))
@@ -327,8 +327,8 @@ def links(docs: DataFrame, of: DataFrame, n: int = N, threshold: int = THRESHOLD
     """(node, root) over the classes that have a link."""
     tokens = candidates(representatives(docs, of), of, n, threshold)
     parities = ", ".join(f"p{i} long" for i in range(PARITY))
-    attrs = common.stored(tokens.mapInArrow(_emit_parities, f"class long, n long, alone long, {parities}"), "parities")
-    found = common.stored(tokens.mapInArrow(_emit_graded(threshold), "key long, class long"), "signatures")
+    attrs = common.stored(tokens.mapInArrow(common.frugal(_emit_parities), f"class long, n long, alone long, {parities}"), "parities")
+    found = common.stored(tokens.mapInArrow(common.frugal(_emit_graded(threshold)), "key long, class long"), "signatures")
     leaders = found.groupBy("key").agg(F.min("class").alias("b"), F.max("class").alias("high")).where("b <> high").select("key", "b")
     leaders = common.stored(leaders, "leaders")
     star = common.stored(found.join(leaders, "key").where("class <> b").groupBy(F.col("class").alias("a"), "b").agg(F.count("*").alias("votes")), "star")
@@ -336,7 +336,7 @@ def links(docs: DataFrame, of: DataFrame, n: int = N, threshold: int = THRESHOLD
 
     def verified(pairs: DataFrame) -> DataFrame:
         joined = pairs.select("a", "b").join(tokens.toDF("a", "n", "x"), "a").join(tokens.toDF("b", "m", "y"), "b")
-        return common.stored(joined.select("a", "b", "n", "m", "x", "y").mapInArrow(_verifier(threshold), "a long, b long, good boolean").where("good").select("a", "b"), "verified")
+        return common.stored(joined.select("a", "b", "n", "m", "x", "y").mapInArrow(common.frugal(_verifier(threshold)), "a long, b long, good boolean").where("good").select("a", "b"), "verified")
 
     def bridged(roots: DataFrame, more: DataFrame) -> DataFrame:
         placed = more

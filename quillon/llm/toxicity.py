@@ -161,7 +161,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, exceptions:
     if not n or not bad or bad == n:
         share = bad / n if n else 0.0
         return Lexicon({}, set(exceptions), (math.log(max(share, 1e-6) / max(1 - share, 1e-6)), 0.0, 0.0))
-    counted = train.select("doc_id", "text", "label").mapInArrow(_count_beginnings, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = train.select("doc_id", "text", "label").mapInArrow(common.frugal(_count_beginnings), "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counted = common.stored(counted, "entries")
     support = max(SUPPORT, math.ceil(math.log(max(counted.count(), 2)) / math.log(n / bad)))
     odds = F.log((F.col("toxic") + 0.5) / (bad + 1)) - F.log((F.col("clean") + 0.5) / (n - bad + 1))
@@ -180,7 +180,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, exceptions:
                 out += [(*p, int(label > 0)) for p in seen]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.int64())], names=["a", "b", "toxic"])
 
-    told = train.select("doc_id", "text", "label").mapInArrow(phrases, "a string, b string, toxic long").groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
+    told = train.select("doc_id", "text", "label").mapInArrow(common.frugal(phrases), "a string, b string, toxic long").groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
     learnt = {(r["a"], r["b"]) for r in told.where("toxic = 0 and n >= 3").orderBy(F.col("n").desc(), "a", "b").limit(ENTRIES).collect()}
     bare.exceptions |= learnt
     shared_all = docs.sparkSession.sparkContext.broadcast((kept, bare.exceptions))
@@ -191,7 +191,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, exceptions:
             found = [own.evidence(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64()), batch.column(2)], names=["x", "y", "label"])
 
-    points = train.select("doc_id", "text", "label").mapInArrow(evidence, "x double, y double, label int").collect()  # FIT_ROWS at most
+    points = train.select("doc_id", "text", "label").mapInArrow(common.frugal(evidence), "x double, y double, label int").collect()  # FIT_ROWS at most
     x = np.array([[1.0, math.log1p(p["x"]), math.log1p(p["y"])] for p in points])
     return Lexicon(kept, bare.exceptions, _logistic(x, np.array([p["label"] > 0 for p in points], float)))
 
@@ -218,7 +218,7 @@ def scores(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         for rows, _, _ in common.steps(batches):
             yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array([own.score(t or "") for t in rows.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(common.frugal(run), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFrame:
@@ -231,7 +231,7 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> Dat
             texts = rows.column(rows.schema.get_field_index("text")).to_pylist()
             yield rows.filter(pa.array([own.score(t or "") < threshold for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.frugal(run), docs.schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
