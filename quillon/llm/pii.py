@@ -18,7 +18,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import common
@@ -298,8 +298,12 @@ def spans(docs: DataFrame, models: dict[str, tuple[Boost, float]]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, base array<string>, found array<string>")
 
 
+def _count(kind: str) -> Column:
+    """How many base spans are of a kind; a lambda's second parameter, even with a default, would be the span's index."""
+    return F.size(F.filter("base", lambda span: span.startswith(f"{kind}:"))).cast("long").alias(f"n_{kind}")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     table = spans(docs, learn(docs))
-    counts = [F.size(F.filter("base", lambda s, k=k: s.startswith(f"{k}:"))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return table.select("doc_id", *counts, F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), F.array_join("found", ",").alias("spans"))
+    return table.select("doc_id", *[_count(k) for k in KINDS], F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), F.array_join("found", ",").alias("spans"))

@@ -1,5 +1,6 @@
 """Learnt operators: held-out accuracy, exact base detectors, folding."""
 
+import hashlib
 import re
 
 from pyspark.sql import functions as F
@@ -55,6 +56,25 @@ def test_base_detectors_are_the_patterns(rng):
         assert pii.base(text) == want, text
 
 
+def test_pii_query_counts_the_patterns(spark, odd, rng, tmp_path):
+    """All exact columns of the query, on odd rows and on texts with no, one and many spans of a kind."""
+    good = {"email": lambda m: True, "ip": lambda m: all(int(p) <= 255 for p in m.split(".")), "card": lambda m: 13 <= len(re.sub(r"\D", "", m)) <= 19 and pii.luhn(re.sub(r"\D", "", m)), "phone": lambda m: 9 <= len(re.sub(r"\D", "", m)) <= 15}
+    pieces = ["a@b.cc", "é.x@d-e.f.g", "1.2.3.4", "1.2.3.256", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (319) 555-5132", "+12", "x", "\U0001f389", "email:1"]
+    texts = pieces + [" / ".join(rng.choice(pieces) for _ in range(n)) for n in range(2, 40)]
+    made = [(i // 2, t) for i, t in enumerate([*texts, None, ""])]
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for r in docs.collect():
+        found = {k: [m.span() for m in re.finditer(p, r["text"] or "") if good[k](m.group())] for k, p in PATTERNS.items()}
+        spans = ",".join(f"{k}:{a}:{b}" for k in found for a, b in found[k])
+        want.append((r["doc_id"], *map(len, found.values()), hashlib.sha256(spans.encode()).hexdigest()))
+    got = pii.op9_pii(spark, str(tmp_path)).select("doc_id", *[f"n_{k}" for k in PATTERNS], "base_sha256")
+    assert [t for _, t in got.dtypes] == ["bigint"] * 5 + ["string"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert all(max(w[i] for w in want) > 1 for i in range(1, 5))
+
+
 def test_boosted_trees_learn_and_add(spark):
     rows = [f"we met. call +1 ({300 + i % 600}) 555-{1000 + i % 9000} or see rows {i}-{i + 1} of 12 34 and {i % 28 + 1}.{i % 12 + 1} too" for i in range(600)]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
