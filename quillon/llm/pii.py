@@ -198,6 +198,8 @@ def invalid(kind: str, body: str) -> list[str]:
     """What looks much like a base span, or like a disguised one, and isn't personal data."""
     if kind == "email":
         names = re.findall(r"[A-Za-z]+", body)
+        if not names:  # 1@2.3 has no words to put around "at"
+            return []
         return [f"{names[0]}{mark} at {names[-1]}{mark}.{name}" for name in (names[0], names[-1]) for mark in ("", "7")]
     if kind == "ip":
         parts = body.split(".")

@@ -75,6 +75,14 @@ def test_pii_query_counts_the_patterns(spark, odd, rng, tmp_path):
     assert all(max(w[i] for w in want) > 1 for i in range(1, 5))
 
 
+def test_pii_of_addresses_without_letters(spark):
+    """An address of digits and signs has no lookalike in words; fits read it all the same."""
+    assert pii.invalid("email", "1@2.3") == []
+    docs = spark.createDataFrame([(i, f"{i}@2.3 or %@--.-, 00.0.0.255 or +1((((((((((23456789") for i in range(30)], "doc_id long, text string")
+    rows = {r["doc_id"]: r["base"] for r in pii.spans(docs, pii.learn(docs)).collect()}
+    assert rows[7] == ["email:0:5", "email:9:15", "ip:17:27", "phone:31:51"]
+
+
 def test_boosted_trees_learn_and_add(spark):
     rows = [f"we met. call +1 ({300 + i % 600}) 555-{1000 + i % 9000} or see rows {i}-{i + 1} of 12 34 and {i % 28 + 1}.{i % 12 + 1} too" for i in range(600)]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
